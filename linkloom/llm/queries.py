@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,36 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    from .packing import pack
+
+    pieces, layout = pack(docs, tokenizer("word_bpe_49k.json"), end_id=2)
+    # the ids stay where they are: only their checksums are moved
+    digests = pieces.select("row", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return digests.join(layout, ["row", "start"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import link_sets
+
+    return link_sets(table(spark, sf_dir, "documents"), size=3, p=90, q=100)
+
+
 @query
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_token_shards, write_token_shards
