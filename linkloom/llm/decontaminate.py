@@ -258,22 +258,59 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -
     return found
 
 
-def remove_leaks(found: DataFrame) -> DataFrame:
-    """The texts of find_leaks() without the words that are hit, with what stands between words left in place."""
+def cut_words(text: str, marks: np.ndarray) -> str:
+    """The text without the marked words, a space for each run of them; what stands between other words stays."""
+    kept, at, out = [], 0, False
+    for i, m in enumerate(WORD.finditer(text.translate(_LOWER))):
+        if marks[i]:
+            if not out:
+                kept.append(text[at : m.start()])
+            at, out = m.end(), True
+        elif out:
+            kept.append(" ")
+            out = False
+    return "".join([*kept, text[at:]])
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
+    """The documents without the words of leaks, and without documents of which leaks are more than that share.
+
+    A cut can bring words together that make another leak, so a text is searched again until none is left.
+    """
+    place = docs.columns.index("text")
+    sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def clean(items: list, key: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(key, items, window)
+            for batch in batches:
+                data, offsets = text_buffer(batch.column(place))
+                changed: dict[int, str | None] = {}
+                for a, b in chunks(offsets):
+                    words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
+                    for k in automaton.suspects(automaton.numbers(words.hash), words.document()).tolist():
+                        text, n, gone = batch.column(place)[a + k].as_py(), int(np.diff(words.first)[k]), 0
+                        while spans := automaton.scan(own := words_of(text))[0]:
+                            marks, size = _mark(None, len(own), spans)
+                            text, gone = cut_words(text, np.unpackbits(np.frombuffer(marks, np.uint8))), gone + size
+                        if gone:
+                            changed[a + k] = text if gone <= coverage * n else None
+                if changed:
+                    texts = batch.column(place).to_pylist()
+                    for k, text in changed.items():
+                        texts[k] = text
+                    batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+                    if sized is not None:
+                        sizes = batch.column(sized).to_pylist()
+                        for k, text in changed.items():
+                            sizes[k] = len(text or "")
+                        batch = batch.set_column(sized, batch.schema.field(sized), pa.array(sizes, batch.schema.field(sized).type))
+                    batch = batch.filter(pa.array([changed.get(k, "") is not None for k in range(len(texts))]))
+                yield batch
+
+        return run
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k, hits in enumerate(batch.column(3).to_pylist()):
-                if hits:
-                    marks = np.unpackbits(np.frombuffer(hits, np.uint8))
-                    spans = [m.span() for m in WORD.finditer(texts[k].translate(_LOWER))]
-                    kept, at = [], 0
-                    for i, (s, e) in enumerate(spans):
-                        if marks[i]:
-                            kept.append(texts[k][at:s])
-                            at = e
-                    texts[k] = "".join([*kept, texts[k][at:]])
-            yield batch.set_column(1, "text", pa.array(texts, pa.string()))
-
-    return found.mapInArrow(cut, SPANS)
+    for k, block in enumerate(item_blocks(benchmark)):
+        if block or k == 0:
+            docs = docs.mapInArrow(clean(block, uuid.uuid4().hex), docs.schema)
+    return docs
