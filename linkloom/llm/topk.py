@@ -11,7 +11,7 @@ best bounds of one block gives each query a score to beat everywhere.
 
 Rows: vectors that are null, empty or hold a null or a non-finite component take no part, nor do rows without an id;
 vectors of different lengths are never compared; equal scores go to the smaller id, repeated ids by their rows; an empty
-table gives an empty result; other columns of any name are ignored.
+table gives an empty result; other columns of any name are ignored. Sums of products must stay below 2**53.
 """
 
 from __future__ import annotations
@@ -54,12 +54,11 @@ def best(q: np.ndarray, q_id: int, q_far: np.ndarray, x: np.ndarray, ids: np.nda
     low = np.abs(far - q_far).max(1)
     low -= 1e-6 * (1 + low + q_far.max() + far.max(initial=0))  # more than rounding can amount to
     bound = (q @ q + norms - np.maximum(low, 0) ** 2) / 2
-    bound[ids == q_id] = -np.inf
-    left = np.flatnonzero(bound >= floor)
+    left = np.flatnonzero((bound >= floor) & (ids != q_id))
     left = left[np.argsort(-bound[left], kind="stable")]
     got, scores, at = np.empty(0, np.int64), np.empty(0), 0
     while at < len(left):
-        if bound[left[at]] < floor or bound[left[at]] == -np.inf:
+        if bound[left[at]] < floor:
             break
         some = left[at : at + STEP]
         got, scores = np.concatenate([got, ids[some]]), np.concatenate([scores, x[some] @ q])
