@@ -19,7 +19,7 @@ def spliced(text, edits) -> Column:
 
 
 def edits_by_file(edits: DataFrame) -> DataFrame:
-    return edits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), "new_text", "old_text"))).alias("edits"))
+    return edits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "new_text", "old_text"))).alias("edits"))
 
 
 def _utf16(text: str) -> bytes:
@@ -95,6 +95,7 @@ def inverse(edits: DataFrame) -> DataFrame:
     """The edits that undo these: spans where the new texts stand."""
     from pyspark.sql import Window
 
-    grown = F.length("new_text") - (F.col("end") - F.col("start"))
+    units = F.octet_length(F.encode("new_text", "UTF-16LE")) / 2
+    grown = units - (F.col("end") - F.col("start"))
     before = F.coalesce(F.sum(grown).over(Window.partitionBy("file").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return edits.select("file", (F.col("start") + before).cast("int").alias("start"), (F.col("start") + before + F.length("new_text")).cast("int").alias("end"), F.col("new_text").alias("old_text"), F.col("old_text").alias("new_text"))
+    return edits.select("file", (F.col("start") + before).cast("int").alias("start"), (F.col("start") + before + units).cast("int").alias("end"), F.col("new_text").alias("old_text"), F.col("old_text").alias("new_text"))

@@ -169,10 +169,10 @@ WITH RECURSIVE h AS ({HUBS_SQL}), f AS ({REFS_SQL}),
 t AS (SELECT DISTINCT dst AS node FROM f UNION SELECT target FROM h),
 r(target, node) AS (SELECT node, node FROM t UNION SELECT r.target, h.barrel FROM r JOIN h ON h.target = r.node),
 e AS (SELECT DISTINCT f.src, r.target AS dst FROM f JOIN r ON f.dst = r.node),
-a(node, depth) AS (SELECT 'C20', 0 UNION SELECT e.src, a.depth + 1 FROM a JOIN e ON e.dst = a.node)
-SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM a GROUP BY node""")
+a(node) AS (SELECT 'C20' UNION SELECT e.src FROM a JOIN e ON e.dst = a.node)
+SELECT node FROM a""")
 def affected_through_hubs(spark, d):
-    return graph.affected(_refs(spark, d), _hubs(spark, d), spark.createDataFrame([("C20",)], "node string"))
+    return graph.affected(_refs(spark, d), _hubs(spark, d), spark.createDataFrame([("C20",)], "node string")).select("node")
 
 
 # -- liveness
@@ -246,23 +246,23 @@ def finding_counts(spark, d):
 
 # -- diagnostics and journal
 
-HALF = "2024-01-15"
+EARLY, LATE = "2024-01-02", "2024-01-29"
 
 
 @query(f"""
-WITH a AS (SELECT * FROM events WHERE ts >= TIMESTAMP '{HALF}'), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '{HALF}')
+WITH a AS (SELECT * FROM events WHERE ts >= TIMESTAMP '{EARLY}'), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '{EARLY}')
 SELECT event_id, user_id, event_type FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND b.event_type = a.event_type)""")
 def diag_delta_new(spark, d):
     e = read_table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
-    return diagnostics.delta(e.where(F.col("ts") < HALF), e.where(F.col("ts") >= HALF), key=["user_id", "event_type"])[0].drop("ts")
+    return diagnostics.delta(e.where(F.col("ts") < EARLY), e.where(F.col("ts") >= EARLY), key=["user_id", "event_type"])[0].drop("ts")
 
 
 @query(f"""
-WITH b AS (SELECT * FROM events WHERE ts < TIMESTAMP '{HALF}'), a AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '{HALF}')
+WITH b AS (SELECT * FROM events WHERE ts < TIMESTAMP '{LATE}'), a AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '{LATE}')
 SELECT event_id, user_id, event_type FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.user_id = a.user_id AND b.event_type = a.event_type)""")
 def diag_delta_fixed(spark, d):
     e = read_table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
-    return diagnostics.delta(e.where(F.col("ts") < HALF), e.where(F.col("ts") >= HALF), key=["user_id", "event_type"])[1].drop("ts")
+    return diagnostics.delta(e.where(F.col("ts") < LATE), e.where(F.col("ts") >= LATE), key=["user_id", "event_type"])[1].drop("ts")
 
 
 @query("""
@@ -528,7 +528,8 @@ r AS (SELECT g, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) A
 p AS (SELECT r.* FROM r JOIN n USING (doc_id) WHERE k <= n - ceil(n * 0.8 - 1e-9) + 1),
 c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id),
 s AS (SELECT c.a, c.b, count(*) AS i FROM c JOIN g x ON x.doc_id = c.a JOIN g y ON y.doc_id = c.b AND y.g = x.g GROUP BY 1, 2)
-SELECT a, b, CAST(i AS DOUBLE) / (na.n + nb.n - i) AS score FROM s JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE CAST(i AS DOUBLE) / (na.n + nb.n - i) >= 0.8"""
+SELECT a, b, CAST(i AS DOUBLE) / (na.n + nb.n - i) AS score FROM s JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE CAST(i AS DOUBLE) / (na.n + nb.n - i) >= 0.8
+UNION ALL SELECT (SELECT min(doc_id) FROM n WHERE n = 0), doc_id, CAST(1 AS DOUBLE) FROM n WHERE n = 0 AND doc_id > (SELECT min(doc_id) FROM n WHERE n = 0)"""
 
 
 def _doc_sets(spark, d):
@@ -620,3 +621,10 @@ def resolve_specifiers(spark, d):
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return metrics_fan_in_out(spark, folder)
 
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def windowed_events(spark, d):
+    from ..streaming.incremental import windowed_counts
+
+    return windowed_counts(read_table(spark, d, "events"))
