@@ -143,19 +143,22 @@ def summed(rows: DataFrame, of_batch, size: int) -> np.ndarray:
     """The sum over all rows of the vectors that of_batch gives: within partitions, then over ADDERS tasks, then here."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for batch in batches:
-            total += of_batch(batch)
         from pyspark import TaskContext
 
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId() % ADDERS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+        total, some = np.zeros(size), False
+        for batch in batches:
+            if batch.num_rows:
+                total, some = total + of_batch(batch), True
+        if some:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId() % ADDERS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, some = np.zeros(size), False
         for batch in batches:
             for v in batch.column(1).to_pylist():
-                total += np.frombuffer(v)
-        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+                total, some = total + np.frombuffer(v), True
+        if some:
+            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
 
     parts = rows.mapInArrow(partial, "k int, v binary").repartition(ADDERS, "k").mapInArrow(add, "k int, v binary").collect()  # ADDERS rows at most
     return sum((np.frombuffer(r["v"]) for r in parts), np.zeros(size))
