@@ -42,6 +42,9 @@ _ROWS = frozenset(("thead", "tbody", "tfoot"))
 IMPLIED = {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "tr": ({"tr"} | _CELLS, {"table"}), "td": (_CELLS, {"table", "tr"}), "th": (_CELLS, {"table", "tr"}), "thead": (_ROWS | {"tr"} | _CELLS, {"table"}), "tbody": (_ROWS | {"tr"} | _CELLS, {"table"}), "tfoot": (_ROWS | {"tr"} | _CELLS, {"table"}), "body": ({"head"}, {"html"})}
 _ENDS_P = BLOCK - {"body", "html", "li", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "legend", "summary", "figcaption"} | {"hr"}
 _SHIELDS_P = frozenset("button table td th caption object".split())
+#: What may stand in a head; anything else, and text, ends it.
+_IN_HEAD = frozenset("base link meta noframes noscript script style template title".split())
+_WHITE = " \t\r\n\f"
 
 
 class Node:
@@ -69,17 +72,25 @@ def build(page: str) -> Node:
             n = len(stack)
             close(tags, shields)
 
+    def end_head() -> None:
+        if stack[-1].tag == "head":
+            stack.pop()
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack[-1].children.append(html.unescape(text))
+            text = html.unescape(text)
+            if text.strip(_WHITE):
+                end_head()
+            stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
         if m[1]:
             name = m[1].lower()
             if name == "br":
+                end_head()
                 stack[-1].children.append(Node("br", {}))
             elif name == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p", {}))
@@ -89,6 +100,8 @@ def build(page: str) -> Node:
             name = m[2].lower()
             if name in ("html", "body") and name != "body":
                 continue
+            if name not in _IN_HEAD:
+                end_head()
             if name in _ENDS_P:
                 close({"p"}, _SHIELDS_P)
             if name in IMPLIED:

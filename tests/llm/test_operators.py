@@ -331,6 +331,17 @@ def test_pages(spark):
     assert extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_pages_without_head_and_body_tags():
+    from linkloom.llm.html_text import text_of
+
+    assert text_of("<head><title>T</title><h1>Hello</h1><p>text") == "Hello\n\ntext"
+    assert text_of("<html><head>\n<meta charset=x><style>p{}</style>\n<script>s</script> plain <b>bold</b>") == "plain bold"
+    assert text_of("<head><noscript>no</noscript><template><p>no</template><link rel=x><img alt=pic>") == "pic"
+    assert text_of("<head>&amp;<p>a</head><p>b") == "&\n\na\n\nb"
+    assert text_of("<head><title>T</title></head><body>x") == text_of("<title>T</title>x") == "x"
+    assert text_of("<div><head><title>T</title>a<head><title>U</title>b</div>c") == "ab\nc"
+
+
 # -- classifiers
 
 
