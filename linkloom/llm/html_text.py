@@ -5,6 +5,8 @@ authors leave out; visibility rules drop what a browser would not paint; a rende
 of their own with blank lines where browsers leave margins, list items with their markers and indents, preformatted text
 as it is, and tables with their cells aligned in columns.
 
+What may not stand in a table goes before it, and rows and cells leave whatever else they stand in, as in browsers.
+
 Rows: a null page gives a null text, an empty one an empty text; broken markup never fails; nesting of any depth is
 walked without recursion; repeated rows are rendered alike; an empty table gives an empty result; other columns of any
 name are ignored.
@@ -31,7 +33,7 @@ _CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hi
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist param source track".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg datalist param source track".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Blocks with a margin: a blank line before and after.
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul".split())
@@ -44,6 +46,13 @@ _ENDS_P = BLOCK - {"body", "html", "li", "option", "optgroup", "td", "th", "tr",
 _SHIELDS_P = frozenset("button table td th caption object".split())
 #: What may stand in a head; anything else, and text, ends it.
 _IN_HEAD = frozenset("base link meta noframes noscript script style template title".split())
+#: Elements of which only the first child is painted, in formulas.
+_ONE_CHILD = frozenset(("semantics", "maction"))
+#: What a table holds outside its cells and captions; what may stand there; and what else a part of a table leaves for its place.
+_FRAME = _ROWS | {"table", "tr", "colgroup"}
+_PARTS = _ROWS | _CELLS | {"tr", "caption", "colgroup", "col"}
+_IN_FRAME = _PARTS | {"script", "style", "template"}
+_PLACES = {"td": _ROWS | {"table", "tr"}, "th": _ROWS | {"table", "tr"}, "tr": _ROWS | {"table"}, "col": {"table", "colgroup"}}
 _WHITE = " \t\r\n\f"
 
 
@@ -63,7 +72,7 @@ def build(page: str) -> Node:
             if stack[k].tag in tags:
                 del stack[k:]
                 return
-            if stack[k].tag in shields:
+            if stack[k].tag in shields or stack[k].tag == "template":
                 return
 
     def close_all(tags, shields) -> None:
@@ -76,6 +85,21 @@ def build(page: str) -> Node:
         if stack[-1].tag == "head":
             stack.pop()
 
+    def open_table() -> int:
+        """The place of the innermost table that no cell or template inside it shields, or 0."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == "table":
+                return k
+            if stack[k].tag in _CELLS or stack[k].tag == "template":
+                return 0
+        return 0
+
+    def place(x) -> None:
+        if stack[-1].tag in _FRAME and (x.strip(_WHITE) if isinstance(x, str) else x.tag not in _IN_FRAME) and (k := open_table()):
+            stack[k - 1].children.insert(-1, x)  # an open table is the last of its parent
+        else:
+            stack[-1].children.append(x)
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -83,7 +107,7 @@ def build(page: str) -> Node:
             text = html.unescape(text)
             if text.strip(_WHITE):
                 end_head()
-            stack[-1].children.append(text)
+            place(text)
         if not m:
             break
         at = m.end()
@@ -91,11 +115,11 @@ def build(page: str) -> Node:
             name = m[1].lower()
             if name == "br":
                 end_head()
-                stack[-1].children.append(Node("br", {}))
+                place(Node("br", {}))
             elif name == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p", {}))
+                place(Node("p", {}))
             elif name not in ("html", "body"):
-                close({name}, _SHIELDS_P if name not in _SHIELDS_P and name not in ("tr", "thead", "tbody", "tfoot") else ())
+                close({name}, _SHIELDS_P if name not in _SHIELDS_P and name not in ("tr", "thead", "tbody", "tfoot", "template") else ())
         elif m[2]:
             name = m[2].lower()
             if name in ("html", "body") and name != "body":
@@ -106,15 +130,25 @@ def build(page: str) -> Node:
                 close({"p"}, _SHIELDS_P)
             if name in IMPLIED:
                 close_all(*IMPLIED[name])
+            if name in _PARTS and (k := open_table()):
+                while stack[-1].tag not in _PLACES.get(name, ("table",)):
+                    stack.pop()
+            elif name == "table" and (k := open_table()) and not any(x.tag == "caption" for x in stack[k:]):
+                del stack[k:]
+            elif name == "form" and stack[-1].tag in _FRAME:
+                continue
             attributes = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(m[3] or "")}
             node = Node(name, attributes)
-            stack[-1].children.append(node)
+            formula = (name == "mphantom" or stack[-1].tag in _ONE_CHILD) and any(x.tag == "math" for x in stack)
+            if formula and (name == "mphantom" or any(isinstance(x, Node) for x in stack[-1].children)):
+                attributes["hidden"] = ""
+            place(node)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 inner = page[at : end.start() if end else len(page)]
                 node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
                 at = end.end() if end else len(page)
-            elif name not in VOID:
+            elif name not in VOID and not (formula and m[3].endswith("/")):
                 stack.append(node)
     return root
 

@@ -342,6 +342,27 @@ def test_pages_without_head_and_body_tags():
     assert text_of("<div><head><title>T</title>a<head><title>U</title>b</div>c") == "ab\nc"
 
 
+def test_pages_lose_no_visible_text():
+    from linkloom.llm.html_text import text_of
+
+    assert text_of("<table><form><tr><td>x</td></tr></form></table>") == "x"
+    assert text_of("<table><div>x</div></table>") == text_of("<table><tr><form><td>x</table>") == text_of("<table><colgroup><col><tr><td>x</table>") == "x"
+    assert text_of("a<table>b<tr>c<td>d<td>e</tr><p>f</p><x-rows hidden><tr><td>g</table>h") == "abc\n\nf\n\nd | e\ng\n\nh"
+    assert text_of("<table hidden><tr><td>no</td></tr><div>x</div></table>") == "x"
+    assert text_of("<table><tr><td>a</td></tr><table><tr><td>b</table>") == "a\n\nb"
+    assert text_of("<table><caption>t<tr><td>a</table>") == "t\na"
+    assert text_of("<table><tr><td>a<table>b<tr><td>c</table>d</table>") == "ab\n\nc\n\nd"
+    assert text_of("<table><template><tr><td>no</template><tr><td>x</table>") == "x"
+    assert text_of("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics><mphantom>no</mphantom></math> holds") == "so x=2 holds"
+    rng = random.Random(3)
+    tags = [f"<{c}{t}>" for t in ("table", "tr", "td", "tbody", "caption", "colgroup", "div", "form", "p", "b", "ul", "li", "math", "mi", "head", "body", "x-y") for c in ("", "", "/")] + ["<col>", "<br>", "<!-- -->"]
+    for _ in range(3000):
+        told = [f"t{k}x" for k in range(rng.randrange(1, 9))]
+        page = "".join("".join(rng.choice(tags) for _ in range(rng.randrange(5))) + x for x in told)
+        got = text_of(page)
+        assert all(x in got for x in told), page
+
+
 # -- classifiers
 
 
