@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Workspace
 from .textbytes import ALNUM, Words, chunks, text_buffer
 
 WINDOW = 10
@@ -32,7 +34,6 @@ WINDOW = 10
 BLOCK = 1 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-SPANS = "doc_id long, text string, n_words long, hits binary, items array<string>, n_hit long"
 
 
 def words_of(text: str) -> list[str]:
@@ -230,7 +231,7 @@ def _pass(items: list, window: int, key: str):
                     if spans:
                         hits[a + k], n_hit[a + k] = _mark(hits[a + k], int(n_words[a + k]), spans)
                         found[a + k] = [*(found[a + k] or []), *(automaton.items[i] for i in names)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_words), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(n_hit, pa.int64())], names=["doc_id", "text", "n_words", "hits", "items", "n_hit"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_words), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(n_hit, pa.int64())], names=batch.schema.names)
 
     return scan
 
@@ -251,10 +252,16 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """doc_id, text, n_words, hits (a bit for each word, from the highest of the first byte; null if none), items, n_hit."""
-    found = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_hit"))
-    for k, block in enumerate(item_blocks(benchmark)):
+    return _find(docs.select(F.col("doc_id").cast("long"), "text"), item_blocks(benchmark), window)
+
+
+def _find(rows: DataFrame, blocks: Iterable[list], window: int) -> DataFrame:
+    """The two columns of the rows, a key of any type and a text, and the others of find_leaks()."""
+    key = rows.columns[0]
+    found = rows.select(key, "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_hit"))
+    for k, block in enumerate(blocks):
         if block or k == 0:
-            found = found.mapInArrow(_pass(block, window, uuid.uuid4().hex), SPANS)
+            found = found.mapInArrow(_pass(block, window, uuid.uuid4().hex), found.schema)
     return found
 
 
@@ -275,8 +282,12 @@ def cut_words(text: str, marks: np.ndarray) -> str:
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """The documents without the words of leaks, and without documents of which leaks are more than that share.
 
-    A cut can bring words together that make another leak, so a text is searched again until none is left.
+    A cut can bring words together that make another leak, so a text is searched again until none is left; what later
+    cuts take counts too. Nothing of this depends on how the items fall into blocks.
     """
+    blocks = [block for block in item_blocks(benchmark) if block]
+    if len(blocks) > 1:
+        return _remove_in_rounds(docs, blocks, window, coverage)
     place = docs.columns.index("text")
     sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -310,7 +321,32 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
         return run
 
-    for k, block in enumerate(item_blocks(benchmark)):
-        if block or k == 0:
-            docs = docs.mapInArrow(clean(block, uuid.uuid4().hex), docs.schema)
-    return docs
+    return docs.mapInArrow(clean(blocks[0], uuid.uuid4().hex), docs.schema) if blocks else docs
+
+
+def _remove_in_rounds(docs: DataFrame, blocks: list[list], window: int, coverage: float) -> DataFrame:
+    """remove_leaks() where no worker holds all items: each round finds the leaks of all blocks, and cuts them at once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut_words(text, np.unpackbits(np.frombuffer(hits, np.uint8))) for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["key", "text"])
+
+    row = F.struct(*[c for c in docs.columns if c != "text"], F.lit(0).alias("text")).alias("row")  # never without a field
+    rows = docs.select(F.struct(row, F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("gone")).alias("key"), "text")
+    done: list[DataFrame] = []
+    with Workspace(docs.sparkSession, "decontamination") as ws:
+        while True:
+            found = ws.keep(_find(rows, blocks, window).select("key", "text", "n_words", "hits", "n_hit"), f"round-{len(done)}")
+            clean = found.where("n_hit = 0")
+            kept = {c: clean["key"]["row"][c] for c in docs.columns if c != "text"} | {"text": clean["text"]}
+            if done and "n_chars" in kept:
+                kept["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+            done.append(clean.select(*[kept[c].alias(c) for c in docs.columns]))
+            n, gone = F.coalesce("key.n", "n_words"), F.col("key.gone") + F.col("n_hit")
+            leaky = found.where(F.col("n_hit") > 0).where(gone <= F.lit(float(coverage)) * n)
+            if leaky.isEmpty():
+                break
+            leaky = leaky.select(F.struct(F.col("key.row").alias("row"), n.alias("n"), gone.alias("gone")).alias("key"), "text", "hits")
+            rows = leaky.mapInArrow(cut, leaky.select("key", "text").schema)
+    return reduce(DataFrame.unionAll, done)

@@ -244,6 +244,25 @@ def test_automaton_in_blocks_equals_one(spark, docs, monkeypatch):
     assert pick() == whole
 
 
+def test_leaks_go_alike_in_any_blocks(spark, monkeypatch):
+    from linkloom.llm import decontaminate
+
+    a, b, rest = ([f"{x}{k}" for k in range(40)] for x in "abz")
+    inner = a[:5] + b[:29] + a[5:12]
+    texts = [" ".join(rest[:31] + a + b[:29]), " ".join(rest[:35] + inner), " ".join(rest), None, "", " ".join(a), "x " + " ".join(a[:10]) + " y z" * 9]
+    docs = clashing(spark.createDataFrame([(k % 5, t, "en", "s", -1) for k, t in enumerate(texts)], SCHEMA))
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, None)], "item_id long, text string").coalesce(1)
+    pick = lambda: sorted(map(str, decontaminate.remove_leaks(docs, bench).collect()))
+    want = pick()
+    for block in (1, 150, 200):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert pick() == want
+        assert decontaminate.remove_leaks(docs, bench).columns == docs.columns
+    left = [r["text"] for r in decontaminate.remove_leaks(docs, bench.orderBy(F.desc("item_id"))).collect()]
+    assert not any(leaks(t, [(1, " ".join(a)), (2, " ".join(b))])[1] for t in left) and len(left) == 4
+    assert decontaminate.remove_leaks(docs, bench.limit(0)).count() == len(texts)
+
+
 # -- chats, search, licenses, pages
 
 
