@@ -3,13 +3,15 @@
 The blended spectrum kernel of two texts counts the n-grams of one to three bytes that both hold, over the root of what
 each holds. A few texts of each language are landmarks; the Nyström method turns kernel values against them into
 features, and kernel ridge regression on these, one language against the rest, gives the scores. A batch of texts is a
-0/1 matrix of n-grams, and two products of matrices score it.
+0/1 matrix of n-grams, and one product of matrices scores it: landmarks and weights are multiplied beforehand.
 
 N-grams are of the lower-cased text with every run of bytes outside letters as one space, and only those that some
 landmark holds count, which is a kernel of its own.
 
-Learning takes at most ``per_language`` labelled texts of each language, none longer than ``longest`` characters, those
-with the least hash of their doc_id. Scoring takes every text whole.
+Every language that labels name is learnt, however many there are. Learning takes at most ``per_language`` labelled
+texts of each, those with the least hash of their doc_id. Texts of more than ``longest`` characters are taken only after
+all others of their language, and only with that many characters from their first letter on. Scoring takes every text
+whole.
 
 Rows: a null text, and one without a letter, is ``und`` with score 0; rows whose lang or doc_id is null teach nothing;
 with nothing to learn from every row is ``und``; repeated rows are scored alike; an empty table gives an empty result;
@@ -30,8 +32,6 @@ from .textbytes import chunks, text_buffer
 
 PER_LANGUAGE = 300
 LANDMARKS = 32
-#: Languages that are learnt, those with the most rows.
-LANGUAGES = 64
 LONGEST = 20_000
 #: Bytes of text that are scored together.
 CHUNK = 1 << 17
@@ -78,7 +78,7 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Classifier:
     languages: list[str]
     codes: np.ndarray
-    landmarks: np.ndarray
+    #: A row for each n-gram and one for the constant, a column for each language.
     weights: np.ndarray
 
     def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -96,9 +96,12 @@ class Classifier:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row for each text of a chunk."""
+        return self.unit(data, offsets) @ self.weights[:-1] + self.weights[-1]
+
+    def unit(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x = self.presence(data, offsets)
         x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return (x @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
+        return x
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_table"}
@@ -109,31 +112,36 @@ def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, pe
     if not names:
         return None
     data, offsets = text_buffer(pa.array(texts, pa.string()))
-    of = np.array([names.index(x) for x in languages])
+    place = {x: k for k, x in enumerate(names)}
+    of = np.array([place[x] for x in languages])
     marked = np.concatenate([np.flatnonzero(of == k)[:landmarks] for k in range(len(names))])
     marks, at = text_buffer(pa.array([texts[k] for k in marked], pa.string()))
-    made = Classifier(names, np.unique(np.concatenate([code for _, code in grams(marks, at)])), np.empty(0), np.empty(0))
-    x = np.concatenate([made.presence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets, CHUNK)])
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    made.landmarks = x[marked]
-    value, vector = np.linalg.eigh((made.landmarks @ made.landmarks.T).astype(float))
+    made = Classifier(names, np.unique(np.concatenate([code for _, code in grams(marks, at)])), np.empty(0))
+    units = lambda data, offsets: (made.unit(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets, CHUNK))
+    landmark = np.concatenate([*units(marks, at)])
+    kernel = np.concatenate([x @ landmark.T for x in units(data, offsets)])
+    value, vector = np.linalg.eigh((landmark @ landmark.T).astype(float))
     root = vector / np.sqrt(np.maximum(value, 1e-6 * value.max(initial=1e-300)))  # of the inverse: features are kernel rows times this
-    z = (x @ made.landmarks.T) @ root
+    z = kernel @ root
     mean = z.mean(0)
     target = np.eye(len(names))[of]
     w = np.linalg.solve((z - mean).T @ (z - mean) + penalty * np.eye(z.shape[1]), (z - mean).T @ (target - target.mean(0)))
-    made.weights = np.concatenate([root @ w, [target.mean(0) - mean @ w]]).astype(np.float32)
+    of_landmark = root @ w
+    of_gram = [landmark[:, k : k + 4096].T.astype(float) @ of_landmark for k in range(0, landmark.shape[1], 4096)]
+    made.weights = np.concatenate([*of_gram, [target.mean(0) - mean @ w]]).astype(np.float32)
     return made
 
 
 def sampled(docs: DataFrame, teaches, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> tuple[list[str], list[str]]:
-    """At most per_language texts of each of at most LANGUAGES languages, and no text over longest: a bounded sample."""
-    rows = docs.where(teaches).where("lang is not null and doc_id is not null and text is not null").where(F.length("text") <= longest).where(F.col("text").rlike(r"\p{L}"))
-    most = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin(most)).select("lang", "doc_id").withColumn("k", F.row_number().over(least)).where(F.col("k") <= per_language)
-    ids = [r["doc_id"] for r in picked.select("doc_id").distinct().collect()]  # at most per_language * LANGUAGES
-    got = rows.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").limit(2 * per_language * LANGUAGES).collect() if ids else []
+    """At most per_language texts of each language, short ones first, and of longer ones longest characters."""
+    rows = docs.where(teaches).where("lang is not null and doc_id is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    least = Window.partitionBy("lang").orderBy("over", F.xxhash64("doc_id"), "doc_id")
+    ranked = rows.select("lang", "doc_id", (F.length("text") > longest).alias("over")).withColumn("k", F.row_number().over(least))
+    picked = ranked.where(F.col("k") <= per_language).select("lang", "doc_id", "over").distinct()
+    picked = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)  # at most per_language rows a language
+    own = F.when(F.length("text") > longest, F.substring("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(longest))).otherwise(F.col("text"))
+    texts = rows.select("lang", "doc_id", (F.length("text") > longest).alias("over"), own.alias("text"))
+    got = texts.join(F.broadcast(picked), ["lang", "doc_id", "over"]).groupBy("doc_id", "lang", "over").agg(F.min("text").alias("text")).orderBy("doc_id", "lang", "over").collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 

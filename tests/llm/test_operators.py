@@ -401,6 +401,22 @@ def test_language(spark):
     assert {r["lang_pred"] for r in identify(df, teaches=F.lit(False)).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    from linkloom.llm.langid import LONGEST, identify
+
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + k) for k in range(900)]
+    rows = []
+    for k in range(72):
+        own = letters[12 * k : 12 * k + 12]
+        word = lambda own=own: "".join(rng.choice(own) for _ in range(5))
+        rows += [(100 * k + i, " ".join(word() for _ in range(30)), f"l{k}", "s", 0) for i in range(2 if k == 71 else 3)]
+    long = [(9000 + i, "1 " * LONGEST + "ünï ßöl " * 6000, "long", "s", 0) for i in range(3)]
+    docs = clashing(spark.createDataFrame([*rows, *long], SCHEMA))
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(docs, teaches=F.lit(True)).collect()}
+    assert got == {r[0]: r[2] for r in [*rows, *long]}
+
+
 def test_quality(spark):
     from linkloom.llm.quality import isotonic, keep_good, score_quality
     from linkloom.llm.queries import crc_mod
