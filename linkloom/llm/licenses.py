@@ -1,7 +1,7 @@
 """License scans with ordered signature rules, in DataFrame functions alone.
 
-Texts are lower-cased and searched for a few keywords; only those that hold one go on. Each rule has a keyword of its
-own, and only where the text holds that is its pattern tried, on the words of the text with single spaces between them.
+Texts are lower-cased and searched for a few keywords; only those that hold one go on. Each rule has a keyword that all
+its matches hold, and only where the text holds that is its pattern tried, on the words of the text with single spaces between them.
 Every match is an interval with its rule's priority. An interval inside one of the same or a higher priority is
 suppressed, so that a grant of a license hides the bare name in it, and what is left gives labels and a score.
 
@@ -36,13 +36,16 @@ class Rule:
     pattern: str
 
 
-#: label: (keyword, pattern of its names, pattern of its SPDX identifiers), over lower-case words.
+#: label, with -short and more for names that share no keyword with its others: (keyword, pattern of its names, pattern of
+#: its SPDX identifiers or None), over lower-case words.
 FAMILIES = {
-    "mit": ("mit", r"(?:the )?(?:mit|expat|x11)(?: x11| expat)?", r"mit(?: 0| modern variant)?"),
+    "mit": ("mit", r"(?:the )?mit(?: x11| expat)?", r"mit(?: 0| modern variant)?"),
+    "mit-short-expat": ("expat", r"(?:the )?expat(?: x11| expat)?", None),
+    "mit-short-x11": ("x11", r"(?:the )?x11(?: x11| expat)?", None),
     "apache": ("apache", r"(?:the )?apache(?: software)?(?: public)?(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?[12](?: [01])?)?", r"apache [12] [01]"),
     "gpl": ("general public", r"(?:the )?(?:gnu )?general public(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?[123](?: 0)?)?", r"gpl [123] 0(?: only| or later)?"),
     "gpl-short": ("gpl", r"(?:the )?(?:gnu )?gpl ?v? ?[123]?(?: 0)?", r"gplv[123]"),
-    "lgpl": ("lesser general", r"(?:the )?(?:gnu )?(?:lesser|library) general public(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?[23](?: [01])?)?", r"lgpl [23] [01](?: only| or later)?"),
+    "lgpl": ("general public", r"(?:the )?(?:gnu )?(?:lesser|library) general public(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?[23](?: [01])?)?", r"lgpl [23] [01](?: only| or later)?"),
     "lgpl-short": ("lgpl", r"(?:the )?(?:gnu )?lgpl ?v? ?[23]?(?: [01])?", r"lgplv[23]"),
     "agpl": ("affero", r"(?:the )?(?:gnu )?affero general public(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?[13](?: 0)?)?", r"agpl [13] 0(?: only| or later)?"),
     "agpl-short": ("agpl", r"(?:the )?(?:gnu )?agpl ?v? ?3?(?: 0)?", r"agplv3"),
@@ -65,7 +68,8 @@ FAMILIES = {
     "cc-by": ("commons", r"(?:the )?(?:creative commons )(?:attribution|by)(?: [1234] [05])?(?: international| unported| generic)?", r"cc by [1234] [05]"),
     "gfdl": ("free documentation", r"(?:the )?(?:gnu )?free documentation(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?1(?: [123])?)?", r"gfdl 1 [123](?: only| or later)?"),
     "ofl": ("open font", r"(?:the )?(?:sil )?open font(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?1(?: [01])?)?", r"ofl 1 [01]"),
-    "python": ("python software foundation", r"(?:the )?(?:python software foundation|psf)(?: license| licence)?(?: agreement)?(?: v(?:ersion)? ?)?(?: ?2)?", r"(?:psf|python) 2 0"),
+    "python": ("python software foundation", r"(?:the )?python software foundation(?: license| licence)?(?: agreement)?(?: v(?:ersion)? ?)?(?: ?2)?", r"(?:psf|python) 2 0"),
+    "python-short": ("psf", r"(?:the )?psf(?: license| licence)?(?: agreement)?(?: v(?:ersion)? ?)?(?: ?2)?", None),
     "ruby": ("ruby", r"(?:the )?ruby", r"ruby"),
     "php": ("php", r"(?:the )?php(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?3(?: 0| 01)?)?", r"php 3 0?1?"),
     "postgresql": ("postgresql", r"(?:the )?postgresql", r"postgresql"),
@@ -74,7 +78,7 @@ FAMILIES = {
     "ms-pl": ("microsoft public", r"(?:the )?microsoft public", r"ms pl"),
     "ms-rl": ("microsoft reciprocal", r"(?:the )?microsoft reciprocal", r"ms rl"),
     "eupl": ("european union public", r"(?:the )?european union public(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?1(?: [012])?)?", r"eupl 1 [012]"),
-    "osl": ("open software license", r"(?:the )?open software(?: license| licence)(?: v(?:ersion)? ?)?(?: ?[123](?: [01])?)?", r"osl [123] [01]"),
+    "osl": ("open software", r"(?:the )?open software(?: license| licence)(?: v(?:ersion)? ?)?(?: ?[123](?: [01])?)?", r"osl [123] [01]"),
     "afl": ("academic free", r"(?:the )?academic free(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?[123](?: [012])?)?", r"afl [123] [012]"),
     "ecl": ("educational community", r"(?:the )?educational community(?: license| licence)?(?: v(?:ersion)? ?)?(?: ?[12](?: 0)?)?", r"ecl [12] 0"),
     "ncsa": ("ncsa", r"(?:the )?(?:university of illinois )?ncsa(?: open source)?", r"ncsa"),
@@ -90,7 +94,7 @@ FAMILIES = {
     "blueoak": ("blue oak", r"(?:the )?blue oak model", r"blueoak 1 0 0"),
     "mulan": ("mulan", r"(?:the )?mulan (?:psl|permissive software)(?: license| licence)?(?: v ?[12])?", r"mulanpsl [12] 0"),
     "sspl": ("server side public", r"(?:the )?server side public", r"sspl 1 0"),
-    "elastic": ("elastic license", r"(?:the )?elastic(?: license| licence)(?: v(?:ersion)? ?)?(?: ?2(?: 0)?)?", r"elastic 2 0"),
+    "elastic": ("elastic", r"(?:the )?elastic(?: license| licence)(?: v(?:ersion)? ?)?(?: ?2(?: 0)?)?", r"elastic 2 0"),
     "busl": ("business source", r"(?:the )?business source", r"busl 1 1"),
     "polyform": ("polyform", r"(?:the )?polyform (?:noncommercial|small business|free trial|internal use|perimeter|shield|strict)", r"polyform (?:noncommercial|small business) 1 0 0"),
     "odbl": ("open database", r"(?:the )?open database", r"odbl 1 0"),
@@ -125,12 +129,12 @@ NOTICES = [
     ("gpl", "free software you can redistribute", r"(?:is|are) free software you can redistribute (?:it|them) and or modify (?:it|them) under the terms of the gnu general public license"),
     ("gpl", "received a copy of the gnu general", r"received a copy of the gnu general public license along with"),
     ("gpl", "either version", r"general public license as published by the free software foundation either version [123]"),
-    ("lgpl", "received a copy of the gnu lesser", r"received a copy of the gnu (?:lesser|library) general public license along with"),
-    ("lgpl", "gnu lesser general", r"under the terms of the gnu (?:lesser|library) general public license as published by"),
+    ("lgpl", "received a copy of the gnu", r"received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("lgpl", "general public license as published by", r"under the terms of the gnu (?:lesser|library) general public license as published by"),
     ("agpl", "gnu affero general", r"under the terms of the gnu affero general public license as published by"),
     ("mpl", "mozilla public license v", r"subject to the terms of the mozilla public license v(?:ersion)? ?[12] [01]"),
     ("mpl", "mozilla org mpl", r"(?:https? )?(?:www )?mozilla org mpl(?: 2 0)?"),
-    ("epl", "eclipse org legal", r"(?:https? )?(?:www )?eclipse org (?:legal|org documents) epl"),
+    ("epl", "eclipse org", r"(?:https? )?(?:www )?eclipse org (?:legal|org documents) epl"),
     ("zlib", "provided as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
     ("boost", "boost org license", r"(?:https? )?(?:www )?boost org license 1 0"),
@@ -158,8 +162,9 @@ def rules() -> list[Rule]:
     """In order: notices, then each family's identifiers, grants and names."""
     out = [Rule(label, NOTICE if label != "proprietary" else NAME, keyword, pattern) for label, keyword, pattern in NOTICES]
     for key, (keyword, name, spdx) in FAMILIES.items():
-        label = key.removesuffix("-short")
-        out.append(Rule(label, IDENTIFIER, "spdx", rf"spdx license identifier (?:{spdx})"))
+        label = key.partition("-short")[0]
+        if spdx:
+            out.append(Rule(label, IDENTIFIER, "spdx", rf"spdx license identifier (?:{spdx})"))
         for priority, form in FORMS:
             out.append(Rule(label, priority, keyword, form.replace("{name}", f"(?:{name})")))
     return out

@@ -332,6 +332,44 @@ def test_licenses(spark, docs, texts, nothing):
     assert len(rules()) > 200 and all(any(g in r.pattern.replace("licen[sc]e", "license") for g in GATE) for r in rules())
 
 
+def made_by(rng, parts):
+    """A random match of a parsed pattern."""
+    out = []
+    for op, x in parts:
+        match str(op):
+            case "LITERAL":
+                out.append(chr(x))
+            case "ANY":
+                out.append("x")
+            case "IN":
+                kind, y = rng.choice(x)
+                out.append(chr(y if str(kind) == "LITERAL" else rng.randint(*y)))
+            case "BRANCH":
+                out.append(made_by(rng, rng.choice(x[1])))
+            case "SUBPATTERN":
+                out.append(made_by(rng, x[-1]))
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += [made_by(rng, x[2]) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1)))]
+            case _:
+                raise ValueError(op)
+    return "".join(out)
+
+
+def test_matches_hold_their_keyword(spark):
+    from re import _parser
+
+    from linkloom.llm.licenses import GATE, rules, scan
+
+    rng = random.Random(2)
+    for rule in rules():
+        parsed = _parser.parse(rule.pattern)
+        for match in {made_by(rng, parsed) for _ in range(200)}:
+            assert rule.keyword in match and any(g in match for g in GATE), (rule, match)
+    told = {"licensed under the GNU Library General Public License": "gpl,lgpl", "under the terms of the GNU Library General Public License as published by": "gpl,lgpl", "released under the PSF license": "python", "licensed under the Open Software Licence 3.0": "osl", "licensed under the Elastic Licence 2.0": "elastic", "released under the Expat license": "mit", "see the X11 License": "mit", "SPDX-License-Identifier: PSF-2.0": "python", "http://www.eclipse.org/org/documents/epl-v10, released": "epl"}
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(told)], SCHEMA)
+    assert [r["labels"] for r in scan(docs).orderBy("doc_id").collect()] == list(told.values())
+
+
 def test_pages(spark):
     from linkloom.llm.html_text import extract, text_of
 
