@@ -5,7 +5,8 @@ longest run of words ending there that some item has. A run of ``window`` words,
 
 Only words that occur in some item can belong to a match, so a text falls into runs of such words, each of which starts
 at the automaton's root. All runs of many texts advance together, one word at a step. Word hashes choose the runs; every
-text in which they find a leak is then read again by the words themselves, so that a result never rests on a hash.
+text in which they find a leak is then read again by the words themselves, and so is every text with a word whose hash
+several words of the items share, so that a result never rests on a hash.
 
 Items are taken in blocks of bounded size, one pass over the texts for each block, so that what a worker holds does not
 grow with the benchmark.
@@ -142,6 +143,8 @@ class Automaton:
         h = Words(np.frombuffer(names, np.uint8), np.concatenate(([0], stops[:-1], [len(names)])) if len(stops) else np.zeros(1, np.int64), ALNUM).hash
         self.word_order = np.argsort(h)
         self.word_hash = h[self.word_order]
+        same = np.flatnonzero(self.word_hash[1:] == self.word_hash[:-1])
+        self.unclear = self.word_order[np.union1d(same, same + 1)]
         bits = 20
         self.sieve = np.zeros(1 << bits, bool)
         self.sieve[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
@@ -164,7 +167,8 @@ class Automaton:
         return out
 
     def suspects(self, number: np.ndarray, document: np.ndarray) -> np.ndarray:
-        """The documents with a leak."""
+        """The documents that can have a leak."""
+        doubtful = document[np.isin(number, self.unclear)] if len(self.unclear) else document[:0]
         known = number >= 0
         begins = known.copy()
         begins[1:] &= ~known[:-1] | (document[1:] != document[:-1])
@@ -194,7 +198,7 @@ class Automaton:
                 m[left] = self.lengths[s[left]]
             whole = np.where(m == self.lengths[s], s, self.links[s])
             leaks[:n] |= (m >= self.window) | (self.shorts[whole] > 0)
-        return np.unique(document[begin[leaks]])
+        return np.unique(np.concatenate([document[begin[leaks]], doubtful]))
 
 
 _made: dict[str, Automaton] = {}

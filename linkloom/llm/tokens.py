@@ -1,7 +1,8 @@
 """Byte-pair encoding of whole texts with the tokenizers library, remembering what each word gave.
 
 Both vocabularies split a text by a pattern and merge within each part alone, so a part's ids never depend on its
-neighbours. Parts are found for many texts at once; the library's model encodes each part that a worker has not met.
+neighbours. Parts are found for many texts at once; the library's model encodes each part that a worker has not met. A
+part is found by a hash and then compared with the remembered one, character by character, so no id rests on a hash.
 Texts with characters whose class differs between Unicode versions go through the library whole.
 """
 
@@ -73,6 +74,10 @@ class Encoder:
         self.count = np.zeros(MEMORY + CHUNK + 2, np.int32)
         self.pool = np.zeros(1 << 20, self.width)
         self.pool[0], self.count[0], self.used = self.end_id, 1, 1
+        self.spelt_at = np.zeros(MEMORY + CHUNK + 2, np.int64)
+        self.spelt_n = np.zeros(MEMORY + CHUNK + 2, np.int64)
+        self.spelling = np.zeros(1 << 20, np.uint32)
+        self.spelt = 0
 
     # -- parts
 
@@ -131,7 +136,8 @@ class Encoder:
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + 1) & mask
 
-    def _learn(self, h: np.ndarray, spans: list[str]) -> None:
+    def _learn(self, spans: list[str]) -> np.ndarray:
+        """New entries for these parts."""
         model, letters = self.tokenizer.model, self.letters
         found = [[t.id for t in model.tokenize(x.encode().decode("latin-1").translate(letters))] for x in spans]
         n = len(found)
@@ -142,8 +148,27 @@ class Encoder:
         self.pool[self.used : self.used + len(flat)] = flat
         new = np.arange(self.known, self.known + n, dtype=np.int32)
         self.count[new], self.at[new] = counts, self.used + np.cumsum(counts) - counts
-        self.used, self.known = self.used + len(flat), self.known + n
-        self._put(h, new)
+        letters = np.frombuffer("".join(spans).encode("utf-32-le", "surrogatepass"), np.uint32)
+        while self.spelt + len(letters) > len(self.spelling):
+            self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
+        self.spelling[self.spelt : self.spelt + len(letters)] = letters
+        sizes = np.fromiter(map(len, spans), np.int64, n)
+        self.spelt_n[new], self.spelt_at[new] = sizes, self.spelt + np.cumsum(sizes) - sizes
+        self.used, self.known, self.spelt = self.used + len(flat), self.known + n, self.spelt + len(letters)
+        return new
+
+    def _differing(self, a: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """The parts that aren't spelt like their entries."""
+        size = end - begin
+        wrong = size != self.spelt_n[entry]
+        size = np.where(wrong, 0, size)
+        stop = np.cumsum(size)
+        each = np.arange(stop[-1] if len(stop) else 0)
+        at = each + np.repeat(begin - (stop - size), size)
+        there = each + np.repeat(self.spelt_at[entry] - (stop - size), size)
+        unlike = np.flatnonzero(a[at] != self.spelling[there])
+        wrong[np.searchsorted(stop, unlike, "right")] = True
+        return np.flatnonzero(wrong)
 
     # -- texts
 
@@ -202,9 +227,13 @@ class Encoder:
                 self._forget()
                 new = np.flatnonzero(~final)
             value, where, back = np.unique(h[new], return_index=True, return_inverse=True)
-            base = self.known
-            self._learn(value, [joined[s:e] for s, e in zip(begin[new[where]].tolist(), end[new[where]].tolist())])
-            entry[new] = base + back
+            learnt = self._learn([joined[s:e] for s, e in zip(begin[new[where]].tolist(), end[new[where]].tolist())])
+            self._put(value, learnt)
+            entry[new] = learnt[back]
+        inner = np.flatnonzero(~final)
+        wrong = inner[self._differing(a, begin[inner], end[inner], entry[inner])]
+        if len(wrong):  # another part of the same hash is remembered
+            entry[wrong] = self._learn([joined[s:e] for s, e in zip(begin[wrong].tolist(), end[wrong].tolist())])
         n = self.count[entry].astype(np.int64)
         stop = np.cumsum(n)
         ids = self.pool[np.repeat(self.at[entry] - (stop - n), n) + np.arange(stop[-1])]
