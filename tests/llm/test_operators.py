@@ -63,6 +63,12 @@ def ids_of(name, end):
 # -- tokens
 
 
+def thue_morse(a, b, n=1024):
+    """Two words of n letters that every power series modulo 2**64 takes for the same."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
 @pytest.mark.parametrize(("name", "end"), [("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 2)])
 def test_remembered_parts_encode_like_the_library(name, end):
     from linkloom.llm.tokens import Encoder
@@ -75,6 +81,17 @@ def test_remembered_parts_encode_like_the_library(name, end):
     assert all(np.array_equal(ids[first[k] : first[k + 1]], e.whole(t)) for k, t in enumerate(texts))
 
 
+@pytest.mark.parametrize(("name", "end"), [("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 2)])
+def test_words_that_power_series_confuse_keep_their_ids(name, end):
+    from linkloom.llm.tokens import Encoder
+
+    one, other = thue_morse("a", "b")
+    e = Encoder(public_tokenizers.path(name), end)
+    for texts in ([one, other], [other], [f"x {one} {other} {one}", other, one]):
+        ids, first = e.encode(texts)
+        assert all(np.array_equal(ids[first[k] : first[k + 1]], e.whole(t)) for k, t in enumerate(texts))
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     from linkloom.llm import tokens
 
@@ -199,6 +216,45 @@ def test_jaccard_odd_rows(spark, nothing):
     assert got == sorted([(None, 4, None), (3, 4, 3), (3, 4, 3), (9, 4, 3), (4, 0, 4), (5, 0, 5)], key=str)
 
 
+def test_jaccard_of_words_that_power_series_confuse(spark):
+    from linkloom.llm.jaccard_join import link_sets
+
+    one, other = thue_morse("a", "b")
+    data = [(1, one), (2, other), (3, f"{one} x y z"), (4, f"{other} x y z"), (5, " ".join([one, other] * 20)), (6, " ".join([one] * 40))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in link_sets(spark.createDataFrame(data, "doc_id long, text string"), size=3, p=90).collect()}
+    assert got == jaccard_components(data, 3, 90, 100)
+
+
+def test_a_link_rests_on_words_alone():
+    """Whatever pairs are proposed, none that differs is linked."""
+    import linkloom.llm.jaccard_join as module
+    import pyarrow as pa
+
+    data = [(k, " ".join(words(random.Random(k), 30))) for k in range(40)] + [(50, "a b c d"), (51, "A  b C d")]
+    seen = module._linked(3, 90, 100)
+    rows = [(0, None, data[0][1]), *[(0, k, t) for k, t in data[1:]], (60, None, "a b c d"), (60, 51, "A  b C d")]
+    batch = pa.table({"a": [r[0] for r in rows], "b": pa.array([r[1] for r in rows], pa.int64()), "text": [r[2] for r in rows]}).to_batches()
+    assert [r for b in seen(iter(batch)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())] == [(60, 51)]
+
+
+def test_one_row_of_each_group_stays(spark, monkeypatch):
+    from linkloom.llm import jaccard_join
+
+    rng = random.Random(21)
+    base = words(rng, 200)
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(0, 60, 10)]
+    lone = [" ".join(words(rng, 50)) for _ in range(6)]
+    rows = [(1, lone[0]), (5, lone[0]), (5, lone[1]), (7, lone[2]), (7, lone[3]), (None, lone[4]), (None, lone[4]), (None, lone[5]), (8, None), (8, ""), (9, lone[5]), (9, lone[5])]
+    rows += [(100 + k, t) for k, t in enumerate(near)] + [(None, near[0]), (3, near[-1] + " end")]
+    for portion in (20_000, 2):
+        monkeypatch.setattr(jaccard_join, "PORTION", portion)
+        kept = jaccard_join.keep_one(clashing(spark.createDataFrame(rows, "doc_id long, text string")))
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+        assert got == sorted([(1, lone[0]), (5, lone[1]), (7, lone[2]), (7, lone[3]), (None, lone[4]), (8, None), (8, ""), (9, lone[5]), (3, near[-1] + " end")], key=str)
+    assert {r["row"] for r in kept.collect()} == {"clash"}
+    assert jaccard_join.keep_one(spark.createDataFrame([], "doc_id long, text string, row string")).count() == 0
+
+
 def test_sketch_distance_never_exceeds_the_difference():
     from linkloom.llm.jaccard_join import Bands, block_values
 
@@ -233,6 +289,23 @@ def test_decontamination(spark, docs, texts, nothing):
     assert all(kept[d] == x for d, x in texts if not got[d][1])
 
 
+def test_leaks_are_found_whatever_words_share_a_hash(monkeypatch):
+    from linkloom.llm import decontaminate, textbytes
+
+    monkeypatch.setattr(textbytes, "word_hashes", lambda data, start, end: textbytes.mix((end - start).astype(np.uint64)))
+    rng = random.Random(4)
+    items = [(str(k), words(rng, n, 5000)) for k, n in enumerate((25, 3, 12, 1))]
+    automaton = decontaminate.Automaton(items, 10)
+    automaton.tables()
+    rows = [" ".join(words(rng, 20, 5000) + w + words(rng, 20, 5000)) for _, w in items] + [" ".join(words(rng, 9, 5000)) for _ in range(10)]
+    raw = [r.encode() for r in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    found = textbytes.Words(np.frombuffer(b"".join(raw), np.uint8), offsets, textbytes.ALNUM)
+    suspects = automaton.suspects(automaton.numbers(found.hash), found.document()).tolist()
+    told = [(k, " ".join(w)) for k, w in items]
+    assert {k for k, r in enumerate(rows) if leaks(r, told)[1]} <= set(suspects)
+
+
 def test_automaton_in_blocks_equals_one(spark, docs, monkeypatch):
     from linkloom.llm import decontaminate
 
