@@ -31,16 +31,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that similarities of 0.8 on five-word shingles connect."""
-    from linkloom.llm.jaccard_join import link_sets
-
-    linked = link_sets(docs, size=5, p=80, q=100)
-    # a doc_id on several rows keeps one of them
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = linked.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(repeated).select(docs.columns)
+    """One document of each group that similarities of 0.8 on five-word shingles connect: the one with the least id.
+
+    Rows are told apart by id and text, so of repeated ids with different texts each is judged by its own; a null id
+    comes after all others; documents without words stay.
+    """
+    from linkloom.llm.jaccard_join import keep_one
+
+    return keep_one(docs, size=5, p=80, q=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
