@@ -7,9 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import col, stem
 
-#: Stems that count anywhere below an app root, and those that count right in it.
-SEGMENT_STEMS = ("apple-icon", "default", "error", "icon", "layout", "loading", "not-found", "opengraph-image", "page", "route", "sitemap", "template", "twitter-image", "unauthorized")
-ROOT_STEMS = ("forbidden", "global-error", "global-not-found", "manifest", "robots")
+#: Fixed values, in the order of the framework's documentation: stems, and whether they count right in an app root alone.
+STEMS = {
+    "apple-icon": False,
+    "default": False,
+    "error": False,
+    "forbidden": True,
+    "global-error": True,
+    "global-not-found": True,
+    "icon": False,
+    "layout": False,
+    "loading": False,
+    "manifest": True,
+    "not-found": False,
+    "opengraph-image": False,
+    "page": False,
+    "robots": True,
+    "route": False,
+    "sitemap": False,
+    "template": False,
+    "twitter-image": False,
+    "unauthorized": True,
+}
 #: Below these, app is the name of a package.
 CONTAINERS = ("apps", "libs", "modules", "packages")
 
@@ -25,4 +44,5 @@ def is_convention_file(path) -> Column:
     root = app_root_index(path)
     name = stem(path)
     in_root = root == F.size(F.split(col(path), "/")) - 1
-    return (root > 0) & (name.isin(*SEGMENT_STEMS) | (name.isin(*ROOT_STEMS) & in_root))
+    anywhere = [s for s, root_only in STEMS.items() if not root_only]
+    return (root > 0) & (name.isin(*anywhere) | (name.isin(*STEMS) & in_root))

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIFF_LIMIT = 200
-
 
 def spliced(text, edits) -> Column:
     """A text with an array of struct(start, end, new_text) applied, by code points; spans don't overlap."""
@@ -77,15 +75,17 @@ def structured_edits(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "file string, start int, end int, old_text string, new_text string")
 
 
-def unified_diffs(applied: DataFrame, limit: int = DIFF_LIMIT) -> DataFrame:
-    """file, diff, of at most so many lines."""
+def unified_diffs(applied: DataFrame, limit: int | None = None) -> DataFrame:
+    """file, diff: whole, or so many lines of it and a line that says how many are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for f, b, a in zip(pdf["file"], pdf["text"], pdf["after"]):
                 lines = list(difflib.unified_diff((b or "").splitlines(), (a or "").splitlines(), f"a/{f}", f"b/{f}", lineterm=""))
-                rows.append((f, "\n".join(lines[:limit])))
+                if limit is not None and len(lines) > limit:
+                    lines = [*lines[:limit], f"... {len(lines) - limit} more lines"]
+                rows.append((f, "\n".join(lines)))
             yield pd.DataFrame(rows, columns=["file", "diff"])
 
     return applied.where("error is null and text <> after").select("file", "text", "after").mapInPandas(run, "file string, diff string")

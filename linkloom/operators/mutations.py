@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import preferred_specifier, relative_specifier
 from .graph import all_references
-from .resolve import binding_conflicts, inline_bindings, specifier_conflicts
+from .resolve import binding_conflicts, inline_bindings, package_specifier, specifier_conflicts
 
 REWRITE = ["file", "line", "old_specifier", "new_specifier"]
 
@@ -30,18 +30,27 @@ def move_guards(moves: DataFrame, files: DataFrame, restricted: DataFrame | None
     return found
 
 
-def move_rewrites(moves: DataFrame, refs: DataFrame, barrel_entries: DataFrame, packages: DataFrame) -> DataFrame:
+def move_rewrites(moves: DataFrame, refs: DataFrame, barrel_entries: DataFrame, packages: DataFrame, *, subpaths: DataFrame | None = None, hubs: DataFrame | None = None) -> DataFrame:
     """(file, line, old_specifier, new_specifier, through): importers of moved files and imports inside them.
 
     Inside a package only direct references change, since hubs keep their consumers working once re-pointed; across
-    packages, references through hubs change as well. packages: file, package, for old and new paths.
+    packages, references through hubs change as well: importers of the package that the file moves to take a relative
+    path, all others what package_specifier() says. packages: file, package, for old and new paths and importers;
+    subpaths (package, key, path) and hubs (barrel, target): what the destination exports.
     """
     home = moves.join(packages.select(F.col("file").alias("old"), F.col("package").alias("from_package")), "old", "left").join(packages.select(F.col("file").alias("new"), F.col("package").alias("to_package")), "new", "left")
     home = home.withColumn("crosses", ~F.col("from_package").eqNullSafe(F.col("to_package"))).select("old", "new", "crosses", "to_package")
     uses = all_references(refs, barrel_entries, moves.select(F.col("old").alias("node")))
     hits = uses.join(home, F.col("dst") == F.col("old")).where("through is null or crosses").where("src <> old")
-    away = F.when(F.col("crosses"), F.col("to_package"))
-    after = hits.select(F.col("src").alias("file"), "line", F.col("specifier").alias("old_specifier"), F.coalesce(F.when(F.col("crosses") & away.isNotNull(), away), relative_specifier("src", "new")).alias("new_specifier"), "through")
+    spark = moves.sparkSession
+    subpaths = subpaths if subpaths is not None else spark.createDataFrame([], "package string, key string, path string")
+    passed = hubs if hubs is not None else spark.createDataFrame([], "barrel string, target string")
+    asked = home.where("crosses and to_package is not null").select(F.col("to_package").alias("package"), F.col("new").alias("target")).distinct()
+    outside = package_specifier(asked, subpaths, passed, asked.select(F.col("package").alias("name")).distinct())
+    hits = hits.join(outside.select(F.col("target").alias("new"), F.col("specifier").alias("outside")), "new", "left")
+    hits = hits.join(packages.select(F.col("file").alias("src"), F.col("package").alias("at_home")).distinct(), "src", "left")
+    away = F.when(F.col("crosses") & ~F.col("at_home").eqNullSafe(F.col("to_package")), F.col("outside"))
+    after = hits.select(F.col("src").alias("file"), "line", F.col("specifier").alias("old_specifier"), F.coalesce(away, relative_specifier("src", "new")).alias("new_specifier"), "through")
     own = refs.join(moves, F.col("src") == F.col("old")).where(F.col("specifier").startswith(".")).join(moves.select(F.col("old").alias("dst"), F.col("new").alias("dst_new")), "dst", "left")
     own = own.select(F.col("new").alias("file"), "line", F.col("specifier").alias("old_specifier"), relative_specifier("new", F.coalesce("dst_new", "dst")).alias("new_specifier"), F.lit(None).cast("string").alias("through"))
     return after.unionByName(own).where("old_specifier <> new_specifier").distinct()

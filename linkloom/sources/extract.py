@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,8 +44,15 @@ def blanked(text: str) -> str:
     return _LITERAL.sub(blank, text)
 
 
+@lru_cache(2)
+def _line_starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
 def _place(text: str, at: int) -> tuple[int, int]:
-    return text.count("\n", 0, at) + 1, at - (text.rfind("\n", 0, at) + 1) + 1
+    starts = _line_starts(text)
+    line = bisect_right(starts, at)
+    return line, at - starts[line - 1] + 1
 
 
 def _named(inside: str, type_only: bool) -> list[dict]:
@@ -186,13 +195,21 @@ def scan_occurrences(text: str) -> list[tuple[str, str]]:
     """(name, role) of every name: declaration, member, export or use."""
     flat, out = blanked(text), []
     lists = [m.span() for m in _EXPORT_LIST.finditer(flat)]
+    begins = [a for a, _ in lists]
+    last = -1  # the last character before a name that isn't white space
+    at = 0
     for m in re.finditer(NAME, flat):
-        before = flat[: m.start()].rstrip()
-        if any(a <= m.start() < b for a, b in lists):
+        while at < m.start():
+            if not flat[at].isspace():
+                last = at
+            at += 1
+        before = flat[max(0, last - 19) : last + 1]
+        k = bisect_right(begins, m.start()) - 1
+        if k >= 0 and m.start() < lists[k][1]:
             role = "export"
         elif before.endswith(".") and not before.endswith("..."):
             role = "member"
-        elif re.search(r"\b(?:function|class|const|let|var|interface|type|enum|namespace)\s*\*?$", before[-20:]):
+        elif re.search(r"\b(?:function|class|const|let|var|interface|type|enum|namespace)\s*\*?$", before):
             role = "declaration"
         else:
             role = "use"

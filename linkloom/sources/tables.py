@@ -29,16 +29,21 @@ def export_index(fresh: DataFrame, stored: DataFrame | None) -> DataFrame:
 
 
 def script_blocks(pages: DataFrame, text: str = "html") -> DataFrame:
-    """Rows with the chosen script of a page: ``script`` and ``lang``; one marked setup first, else the first."""
-    block = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
-    heads = F.regexp_extract_all(text, F.lit(block), F.lit(1))
-    bodies = F.regexp_extract_all(text, F.lit(block), F.lit(2))
-    both = F.arrays_zip(heads.alias("head"), bodies.alias("body"))
-    setup = F.filter(both, lambda b: b["head"].rlike(r"(^|\s)setup(\s|=|$)"))
-    chosen = F.coalesce(F.try_element_at(setup, F.lit(1)), F.try_element_at(both, F.lit(1)))
-    lang = F.regexp_extract(chosen["head"], r"""lang\s*=\s*["']?([A-Za-z0-9]+)""", 1)
-    offset = F.when(chosen.isNotNull(), F.locate("<script", F.lower(text)) - 1)
-    return pages.withColumn("script", chosen["body"]).withColumn("lang", F.when(lang != "", lang).when(chosen.isNotNull(), F.lit("js"))).withColumn("script_at", offset)
+    """Rows with the chosen script of a page: ``script``, ``lang`` and ``script_at``; one marked setup first, else the first.
+
+    A script is ts unless it says js; script_at is where its content begins, in UTF-16 units.
+    """
+    block = r"(?is)(<script(\s[^>]*)?\s*>)(.*?)</script>"
+    whole, opening, heads, bodies = (F.regexp_extract_all(text, F.lit(block), F.lit(k)) for k in range(4))
+    between = F.split(text, block, -1)
+    units = lambda x: F.octet_length(F.encode(x, "UTF-16LE")) / 2
+    size = lambda items, n: F.aggregate(F.slice(items, F.lit(1), n), F.lit(0.0), lambda s, x: s + units(x))
+    places = F.transform(whole, lambda x, k: size(between, k + 1) + size(whole, k) + units(F.get(opening, k)))
+    blocks = F.arrays_zip(heads.alias("head"), bodies.alias("body"), places.alias("at"))
+    setup = F.filter(blocks, lambda b: b["head"].rlike(r"(?i)\bsetup\b"))
+    chosen = F.coalesce(F.try_element_at(setup, F.lit(1)), F.try_element_at(blocks, F.lit(1)))
+    lang = F.when(chosen.isNotNull(), F.when(F.coalesce(chosen["head"], F.lit("")).rlike(r"""(?i)\blang=["']?js"""), "js").otherwise("ts"))
+    return pages.withColumn("script", chosen["body"]).withColumn("lang", lang).withColumn("script_at", chosen["at"].cast("int"))
 
 
 def git_ignored(paths: DataFrame, ignored: DataFrame | None) -> DataFrame:

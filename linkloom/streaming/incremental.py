@@ -1,8 +1,8 @@
 """Fact tables kept up to date from a stream of changed files.
 
 Each micro-batch replaces the facts of the files that it holds. Facts are stored in buckets of file names, and a batch
-rewrites only the buckets it touches: dynamic partition overwrite makes that one commit, so a batch that is run again
-after a failure leaves the same table.
+rewrites only the buckets it touches. Buckets that lose their last row are removed after the others are written, so the
+change of a batch isn't one commit; a batch that is run again after a failure leaves the same table.
 """
 
 from __future__ import annotations
@@ -39,6 +39,17 @@ def upsert(spark: SparkSession, path: str, fresh: DataFrame, changed: DataFrame,
     new.write.mode("overwrite").partitionBy("bucket").parquet(aside)
     done = spark.read.schema(new.schema).parquet(aside)
     done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    left = {r["bucket"] for r in done.select("bucket").distinct().collect()}
+    for b in touched:
+        if b not in left:
+            delete(spark, f"{path}/bucket={b}")
+    delete(spark, aside)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def latest_texts(batch: DataFrame) -> DataFrame:
