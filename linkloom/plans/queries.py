@@ -137,30 +137,30 @@ def _refs(spark, d):
 
 
 def _hubs(spark, d):
-    """Nations pass on some customers, and regions nations."""
-    c, n = read_table(spark, d, "customer").where("c_custkey % 10 = 0"), read_table(spark, d, "nation")
+    """Nations pass on customers, and regions nations."""
+    c, n = read_table(spark, d, "customer"), read_table(spark, d, "nation")
     return c.select(node("N", "c_nationkey").alias("barrel"), node("C", "c_custkey").alias("target")).union(n.select(node("R", "n_regionkey"), node("N", "n_nationkey")))
 
 
-HUBS_SQL = "SELECT 'N' || c_nationkey AS barrel, 'C' || c_custkey AS target FROM customer WHERE c_custkey % 10 = 0 UNION SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation"
+HUBS_SQL = "SELECT 'N' || c_nationkey AS barrel, 'C' || c_custkey AS target FROM customer UNION SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation"
 
 
 @query(f"""
-WITH RECURSIVE h AS ({HUBS_SQL}), r(target, node) AS (SELECT 'C' || c_custkey, 'C' || c_custkey FROM customer WHERE c_custkey % 20 = 0 UNION SELECT r.target, h.barrel FROM r JOIN h ON h.target = r.node)
+WITH RECURSIVE h AS ({HUBS_SQL}), r(target, node) AS (SELECT 'C' || c_custkey, 'C' || c_custkey FROM customer UNION SELECT r.target, h.barrel FROM r JOIN h ON h.target = r.node)
 SELECT target, node FROM r""")
 def reexporter_closure(spark, d):
-    targets = read_table(spark, d, "customer").where("c_custkey % 20 = 0").select(node("C", "c_custkey").alias("node"))
+    targets = read_table(spark, d, "customer").select(node("C", "c_custkey").alias("node"))
     return graph.reexporter_closure(_hubs(spark, d), targets)
 
 
 @query(f"""
 WITH RECURSIVE h AS ({HUBS_SQL}), f AS ({REFS_SQL}),
-r(target, node) AS (SELECT 'C' || c_custkey, 'C' || c_custkey FROM customer WHERE c_custkey % 20 = 0 UNION SELECT r.target, h.barrel FROM r JOIN h ON h.target = r.node),
+r(target, node) AS (SELECT 'C' || c_custkey, 'C' || c_custkey FROM customer UNION SELECT r.target, h.barrel FROM r JOIN h ON h.target = r.node),
 u AS (SELECT r.target, f.src, f.specifier, f.line, f.seq, CASE WHEN r.node <> r.target THEN r.node END AS through FROM f JOIN r ON f.dst = r.node),
 k AS (SELECT *, row_number() OVER (PARTITION BY target, src, specifier, line ORDER BY CASE WHEN through IS NULL THEN 0 ELSE 1 END, seq) AS k FROM u)
 SELECT target AS dst, src, specifier, CAST(line AS BIGINT) AS line, through FROM k WHERE k = 1""")
 def all_references(spark, d):
-    targets = read_table(spark, d, "customer").where("c_custkey % 20 = 0").select(node("C", "c_custkey").alias("node"))
+    targets = read_table(spark, d, "customer").select(node("C", "c_custkey").alias("node"))
     return graph.all_references(_refs(spark, d), _hubs(spark, d), targets).select("dst", "src", "specifier", "line", "through")
 
 
@@ -207,30 +207,32 @@ def orphans_self_contained(spark, d):
 
 
 @query("""
-WITH x AS (SELECT DISTINCT l_suppkey AS s, CAST(l_partkey % 50 AS VARCHAR) AS k FROM lineitem WHERE l_linenumber = 1)
-SELECT 's' || l_suppkey AS target, 'o' || l_orderkey AS mock_file, CAST(l_partkey % 50 AS VARCHAR) AS key, CAST(l_linenumber AS INTEGER) AS line
-FROM lineitem WHERE l_linenumber = 2 AND l_suppkey IN (SELECT s FROM x) AND NOT EXISTS (SELECT 1 FROM x WHERE s = l_suppkey AND k = CAST(l_partkey % 50 AS VARCHAR))""")
+WITH x AS (SELECT DISTINCT l_suppkey AS s, CAST(l_partkey % 997 AS VARCHAR) AS k FROM lineitem WHERE l_linenumber % 2 = 1)
+SELECT 's' || l_suppkey AS target, 'o' || l_orderkey AS mock_file, CAST(l_partkey % 997 AS VARCHAR) AS key, CAST(l_linenumber AS INTEGER) AS line
+FROM lineitem WHERE l_linenumber % 2 = 0 AND l_suppkey IN (SELECT s FROM x) AND NOT EXISTS (SELECT 1 FROM x WHERE s = l_suppkey AND k = CAST(l_partkey % 997 AS VARCHAR))""")
 def mock_orphans(spark, d):
+    """Odd lines export, even lines mock."""
     lines = read_table(spark, d, "lineitem")
-    key = (F.col("l_partkey") % 50).cast("string")
-    exports = lines.where("l_linenumber = 1").select(node("s", "l_suppkey").alias("file"), key.alias("name"), F.lit("named").alias("export_type")).distinct()
-    entries = lines.where("l_linenumber = 2").select(node("s", "l_suppkey").alias("target"), node("o", "l_orderkey").alias("mock_file"), key.alias("key"), F.col("l_linenumber").cast("int").alias("line"))
+    key = (F.col("l_partkey") % 997).cast("string")
+    exports = lines.where("l_linenumber % 2 = 1").select(node("s", "l_suppkey").alias("file"), key.alias("name"), F.lit("named").alias("export_type")).distinct()
+    entries = lines.where("l_linenumber % 2 = 0").select(node("s", "l_suppkey").alias("target"), node("o", "l_orderkey").alias("mock_file"), key.alias("key"), F.col("l_linenumber").cast("int").alias("line"))
     return liveness.mock_orphans(entries, exports)
 
 
 VERDICTS_SQL = """
 WITH x AS (SELECT 'C' || c_custkey AS file, c_mktsegment AS name, c_custkey % 13 = 0 AS assumed, c_custkey % 7 = 0 AS public FROM customer),
 u AS (SELECT DISTINCT 'C' || o_custkey AS file FROM orders WHERE o_orderkey % 4 = 0),
-live AS (SELECT DISTINCT 'C' || o_custkey AS file FROM orders WHERE o_orderkey % 4 = 0 AND o_orderstatus = 'F')
+live AS (SELECT DISTINCT 'C' || o_custkey AS file FROM orders WHERE o_orderstatus = 'F')
 SELECT x.file, x.name, CASE WHEN assumed THEN 'assumed-used' WHEN public THEN 'public' WHEN u.file IS NULL THEN 'unused' WHEN live.file IS NOT NULL THEN 'used' ELSE 'transitively-dead' END AS verdict
 FROM x LEFT JOIN u ON u.file = x.file LEFT JOIN live ON live.file = x.file"""
 
 
 @query(VERDICTS_SQL)
 def export_verdicts(spark, d):
-    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders").where("o_orderkey % 4 = 0")
+    """Every order imports its customer, one in four for its names and the others for side effects."""
+    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders")
     exports = c.select(node("C", "c_custkey").alias("file"), F.col("c_mktsegment").alias("name"), F.lit("named").alias("export_type"))
-    refs = o.select(node("O", "o_orderkey").alias("src"), node("C", "o_custkey").alias("dst"), F.lit("import-namespace").alias("ref_type"), F.lit(None).cast("array<struct<name:string,alias:string,is_type:boolean>>").alias("bindings"))
+    refs = o.select(node("O", "o_orderkey").alias("src"), node("C", "o_custkey").alias("dst"), F.when(F.col("o_orderkey") % 4 == 0, "import-namespace").otherwise("import-side-effect").alias("ref_type"), F.lit(None).cast("array<struct<name:string,alias:string,is_type:boolean>>").alias("bindings"))
     files = exports.select("file").union(refs.select("src"))
     roots = o.where("o_orderstatus = 'F'").select(node("O", "o_orderkey").alias("node"))
     public = exports.join(c.where("c_custkey % 7 = 0").select(node("C", "c_custkey").alias("file")), "file", "left_semi")
@@ -338,9 +340,13 @@ def page_links_fan_in(spark, d):
     return metrics.coupling(links).where("fan_in > 0").select("node", "fan_in")
 
 
-@query(r"SELECT page_id, regexp_extract(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1) AS script, 'js' AS lang FROM pages WHERE regexp_matches(html, '(?is)<script\b[^>]*>(.*?)</script\s*>')")
+@query(r"""
+WITH b AS (SELECT page_id, html, regexp_extract(html, '(?is)<script(?:\s[^>]*)?\s*>.*?</script>') AS b FROM pages WHERE regexp_matches(html, '(?is)<script(?:\s[^>]*)?\s*>.*?</script>')),
+o AS (SELECT *, strpos(b, '>') AS k, html[:strpos(html, b) - 1] AS head FROM b)
+SELECT page_id, b[k + 1:length(b) - 9] AS script, CASE WHEN regexp_matches(b[:k], '(?i)\blang=["'']?js') THEN 'js' ELSE 'ts' END AS lang,
+ CAST(length(head) + len(regexp_extract_all(head, '[\x{10000}-\x{10FFFF}]')) + k AS INTEGER) AS script_at FROM o""")
 def script_blocks(spark, d):
-    return tables.script_blocks(read_table(spark, d, "pages")).where("script is not null").select("page_id", "script", "lang")
+    return tables.script_blocks(read_table(spark, d, "pages")).where("script is not null").select("page_id", "script", "lang", "script_at")
 
 
 # -- naming and layout
@@ -439,14 +445,14 @@ def duplicate_keys_first(spark, d):
 
 
 @query("""
-WITH u AS (SELECT c_nationkey AS n, count(*) AS k, bool_or(c_nationkey % 5 <> 0) AS b FROM customer WHERE c_acctbal > 5000 GROUP BY 1)
+WITH u AS (SELECT s_nationkey AS n, count(*) AS k, bool_or(s_nationkey % 5 <> 0) AS b FROM supplier GROUP BY 1)
 SELECT 'N' || n_nationkey AS node, CAST(coalesce(k, 0) AS BIGINT) AS importers, coalesce(b, false) AS boundary,
  CASE WHEN n_nationkey % 11 = 3 OR coalesce(k, 0) >= 20 OR (coalesce(b, false) AND k >= 5) THEN 'high' WHEN coalesce(b, false) OR coalesce(k, 0) >= 5 OR (coalesce(k, 0) > 0 AND (n_nationkey % 10) / 10.0 <= 0.3) THEN 'medium' ELSE 'low' END AS risk
 FROM nation LEFT JOIN u ON n = n_nationkey""")
 def impact_risk(spark, d):
-    c, n = read_table(spark, d, "customer").where("c_acctbal > 5000"), read_table(spark, d, "nation")
-    refs = c.select(node("C", "c_custkey").alias("src"), node("N", "c_nationkey").alias("dst"), F.lit("x").alias("specifier"), F.lit(1).alias("line"), F.col("c_custkey").alias("seq"))
-    packages = c.select(node("C", "c_custkey").alias("file"), F.lit("a").alias("package")).union(n.select(node("N", "n_nationkey"), F.when(F.col("n_nationkey") % 5 == 0, "a").otherwise("b")))
+    s, n = read_table(spark, d, "supplier"), read_table(spark, d, "nation")
+    refs = s.select(node("S", "s_suppkey").alias("src"), node("N", "s_nationkey").alias("dst"), F.lit("x").alias("specifier"), F.lit(1).alias("line"), F.col("s_suppkey").alias("seq"))
+    packages = s.select(node("S", "s_suppkey").alias("file"), F.lit("a").alias("package")).union(n.select(node("N", "n_nationkey"), F.when(F.col("n_nationkey") % 5 == 0, "a").otherwise("b")))
     m = n.select(node("N", "n_nationkey").alias("node"), ((F.col("n_nationkey") % 10) / 10).alias("instability"))
     missing = n.where("n_nationkey % 11 = 3").select(node("N", "n_nationkey").alias("node"), F.lit(1).cast("bigint").alias("n_missing"))
     hubs = spark.createDataFrame([], "barrel string, target string")
@@ -454,7 +460,7 @@ def impact_risk(spark, d):
 
 
 CONTRACT_SQL = """
-WITH RECURSIVE deps AS (SELECT DISTINCT 'c' || (c_custkey % 40) AS consumer, 'n' || c_nationkey AS provider FROM customer WHERE c_custkey % 3 = 0),
+WITH RECURSIVE deps AS (SELECT DISTINCT 'c' || (c_custkey % 40) AS consumer, 'n' || c_nationkey AS provider FROM customer),
 pol AS (SELECT 'n' || n_nationkey AS package, 'r' || n_regionkey AS dep, 'dependencies' AS section, '^' || (n_nationkey % 2) AS specifier, n_nationkey % 4 = 0 AS clo FROM nation
  UNION ALL SELECT 'r' || r_regionkey, 'lib', 'peerDependencies', '^9', false FROM region),
 q(consumer, root, dep, section, specifier, clo, depth) AS (
@@ -465,7 +471,7 @@ q(consumer, root, dep, section, specifier, clo, depth) AS (
 
 def _contract(spark, d):
     c, n, r = (read_table(spark, d, t) for t in ("customer", "nation", "region"))
-    deps = c.where("c_custkey % 3 = 0").select(F.concat(F.lit("c"), F.col("c_custkey") % 40).alias("consumer"), node("n", "c_nationkey").alias("provider")).distinct()
+    deps = c.select(F.concat(F.lit("c"), F.col("c_custkey") % 40).alias("consumer"), node("n", "c_nationkey").alias("provider")).distinct()
     policies = n.select(node("n", "n_nationkey").alias("package"), node("r", "n_regionkey").alias("dep"), F.lit("dependencies").alias("section"), F.concat(F.lit("^"), F.col("n_nationkey") % 2).alias("specifier"), (F.col("n_nationkey") % 4 == 0).alias("include_closure"), F.lit(0).alias("seq"))
     policies = policies.union(r.select(node("r", "r_regionkey"), F.lit("lib"), F.lit("peerDependencies"), F.lit("^9"), F.lit(False), F.lit(0)))
     return contracts.requirements(deps, policies)
@@ -578,10 +584,14 @@ def benchmark_contamination(spark, d):
 
 @query("""SELECT conv_id, turn, CASE WHEN length(text) >= 12 THEN substr(text, 1, 2) || '<a>' || substr(text, 6, 3) || '<bc>' || substr(text, 9) ELSE text END AS after FROM conversations""")
 def apply_edits(spark, d):
-    c = read_table(spark, d, "conversations")
-    span = lambda a, b, t: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("new_text"))
-    some = F.when(F.length("text") >= 12, F.array(span(8, 8, "<bc>"), span(2, 5, "<a>"))).otherwise(F.array().cast("array<struct<start:int,end:int,new_text:string>>"))
-    return c.select("conv_id", "turn", edits.spliced("text", some).alias("after"))
+    """Spans count UTF-16 units, so they are measured on the text before them."""
+    rows = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
+    texts = rows.withColumn("file", F.concat_ws(":", "conv_id", "turn"))
+    units = lambda n: (F.octet_length(F.encode(F.substring("text", 1, n), "UTF-16LE")) / 2).cast("int")
+    long = texts.where(F.length("text") >= 12)
+    span = lambda a, b, new: long.select("file", units(a).alias("start"), units(b).alias("end"), F.substring("text", a + 1, b - a).alias("old_text"), F.lit(new).alias("new_text"))
+    done = edits.apply_edits(long, span(2, 5, "<a>").union(span(8, 8, "<bc>")))
+    return texts.join(done.select("file", "after"), "file", "left").select("conv_id", "turn", F.coalesce("after", "text").alias("after"))
 
 
 @query("""
@@ -622,9 +632,11 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return metrics_fan_in_out(spark, folder)
 
 
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def windowed_events(spark, d):
     from ..streaming.incremental import windowed_counts
 
     return windowed_counts(read_table(spark, d, "events"))
+
+
+from . import catalog as catalog  # noqa: E402  the rest of the queries, which it registers here

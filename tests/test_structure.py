@@ -470,6 +470,42 @@ def test_configs_and_workspaces(spark, tmp_path):
     assert [(r["script"], r["lang"]) for r in tables.script_blocks(pages).collect()] == [("b", "ts"), ("c", "js"), (None, None)]
 
 
+def test_scripts_are_ts_unless_they_say_js(spark):
+    pages = frame(spark, [("<p>😀<script>a</script>",), ("<script>a</script><SCRIPT Setup lang=js>b\n</script>",), ("<scripty>x</script>",), (None,)], "html string")
+    got = [(r["script"], r["lang"], r["script_at"]) for r in tables.script_blocks(pages).collect()]
+    assert got == [("a", "ts", 13), ("b\n", "js", 40), (None, None, None), (None, None, None)]
+
+
+def test_every_convention_stem_in_both_places(spark):
+    rows = frame(spark, [(s,) for s in conventions.STEMS], "s string").select("s", conventions.is_convention_file(F.concat(F.lit("app/x/"), "s", F.lit(".tsx"))).alias("below"), conventions.is_convention_file(F.concat(F.lit("src/app/"), "s", F.lit(".ts"))).alias("root")).collect()
+    assert len(rows) == 19 and all(r["root"] for r in rows)
+    assert {r["s"] for r in rows if not r["below"]} == {"forbidden", "global-error", "global-not-found", "manifest", "robots", "unauthorized"}
+
+
+def test_scanning_names_is_linear(spark):
+    import time
+
+    text = "a.b; const c = d;\n" * 20_000
+    began = time.time()
+    roles = extract.scan_occurrences(text)
+    assert time.time() - began < 20 and roles[:5] == [("a", "use"), ("b", "member"), ("const", "use"), ("c", "declaration"), ("d", "use")]
+    assert extract._place("x\ny\nz", 4) == (3, 1)
+
+
+def test_equal_sets_and_empty_ones(spark):
+    sets = frame(spark, [(1, ["a", "b"]), (2, ["b", "a"]), (3, []), (4, []), (5, []), (6, ["a", "b", "c"]), (7, ["a", "b"])], "id bigint, items array<string>")
+    assert pairs(similarity.similar_sets(sets, 0.6), "a", "b", "score") == [(1, 2, 1.0), (1, 6, 2 / 3), (1, 7, 1.0), (2, 6, 2 / 3), (2, 7, 1.0), (3, 4, 1.0), (3, 5, 1.0), (6, 7, 2 / 3)]
+
+
+def test_moves_across_packages(spark):
+    mv = frame(spark, [("pa/m.ts", "pb/src/m.ts")], "old string, new string")
+    r = frame(spark, [("pb/u.ts", "pa/m.ts", "pa", "import-named", 1, [], 0), ("pc/v.ts", "pa/m.ts", "pa", "import-named", 2, [], 1)], REF)
+    home = frame(spark, [("pa/m.ts", "pa"), ("pb/src/m.ts", "pb"), ("pb/u.ts", "pb"), ("pc/v.ts", "pc")], "file string, package string")
+    keys = frame(spark, [("pb", "./m", "pb/src/m.ts")], "package string, key string, path string")
+    assert pairs(mutations.move_rewrites(mv, r, hubs(spark, []), home, subpaths=keys), "file", "new_specifier") == [("pb/u.ts", "./src/m"), ("pc/v.ts", "pb/m")]
+    assert pairs(mutations.move_rewrites(mv, r, hubs(spark, []), home), "file", "new_specifier") == [("pb/u.ts", "./src/m"), ("pc/v.ts", "pb")]
+
+
 def test_find(spark):
     files, x = nodes(spark, ["src/Foo.ts", "src/foobar.ts", "x.vue"], "file"), frame(spark, [("src/a.ts", "getFoo"), ("x.vue", "foo")], "file string, name string")
     assert pairs(find.find(files, x, "FOO"), "kind", "name", "exact") == [("export", "getFoo", False), ("file", "Foo.ts", True), ("file", "foobar.ts", False)]
@@ -490,6 +526,17 @@ def test_facts_follow_changed_files(spark, tmp_path):
     assert pairs(spark.read.parquet(table), "src", "specifier") == [("a.ts", "./w"), ("a.ts", "./z"), ("b.ts", "./y")]
 
 
+def test_a_file_can_lose_all_its_facts(spark, tmp_path):
+    from linkloom.streaming.incremental import upsert
+
+    path, schema = str(tmp_path / "facts"), "src string, specifier string"
+    key = lambda *names: frame(spark, [(n,) for n in names], "src string")
+    for _ in range(2):
+        upsert(spark, path, frame(spark, [("a.ts", "./x"), ("b.ts", "./y")], schema), key("a.ts", "b.ts"), "src")
+        upsert(spark, path, frame(spark, [], schema), key("a.ts"), "src")
+        assert pairs(spark.read.parquet(path), "src") == [("b.ts",)]
+
+
 def test_entry_without_the_pipeline_operators(tmp_path):
     import shutil
     import subprocess
