@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, lean
 from .textbytes import ALNUM, Words, chunks, text_buffer
 
 WINDOW = 10
@@ -265,7 +265,7 @@ def _find(rows: DataFrame, blocks: Iterable[list], window: int) -> DataFrame:
     found = rows.select(key, "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_hit"))
     for k, block in enumerate(blocks):
         if block or k == 0:
-            found = found.mapInArrow(_pass(block, window, uuid.uuid4().hex), found.schema)
+            found = found.mapInArrow(lean(_pass(block, window, uuid.uuid4().hex)), found.schema)
     return found
 
 
@@ -325,7 +325,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
         return run
 
-    return docs.mapInArrow(clean(blocks[0], uuid.uuid4().hex), docs.schema) if blocks else docs
+    return docs.mapInArrow(lean(clean(blocks[0], uuid.uuid4().hex)), docs.schema) if blocks else docs
 
 
 def _remove_in_rounds(docs: DataFrame, blocks: list[list], window: int, coverage: float) -> DataFrame:
@@ -352,5 +352,5 @@ def _remove_in_rounds(docs: DataFrame, blocks: list[list], window: int, coverage
             if leaky.isEmpty():
                 break
             leaky = leaky.select(F.struct(F.col("key.row").alias("row"), n.alias("n"), gone.alias("gone")).alias("key"), "text", "hits")
-            rows = leaky.mapInArrow(cut, leaky.select("key", "text").schema)
+            rows = leaky.mapInArrow(lean(cut), leaky.select("key", "text").schema)
     return reduce(DataFrame.unionAll, done)

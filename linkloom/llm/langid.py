@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textbytes import chunks, text_buffer
 
 PER_LANGUAGE = 300
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, *, teaches, per_language: int = PER_LANGUAGE) -> D
             names, score = _predict(model, batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(predict), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, *, teaches, least: float, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -181,4 +182,4 @@ def keep_known(docs: DataFrame, *, teaches, least: float, per_language: int = PE
             names, score = _predict(model, batch.column(place))
             yield batch.filter(pa.array((names != UNDECIDED) & (score >= least)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

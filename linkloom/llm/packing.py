@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, lean
 from .tokens import encoder
 
 WINDOW = 4096
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> Da
                 yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(length), pa.array(total[of]), binary], names=["row", "doc_id", "start", "length", "doc_tokens", "ids"])
 
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return named.mapInArrow(cut, PIECES)
+    return named.mapInArrow(lean(cut), PIECES)
 
 
 def _greedy(window: int):

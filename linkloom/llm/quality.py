@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, lean
 from .textbytes import NONSPACE, Words, byte_table, chunks, mix, text_buffer
 
 STATISTICS = ["bytes", "words", "word_length", "word_spread", "upper", "digit", "punctuation", "symbol", "bar", "space", "line", "wide", "distinct", "repeated", "top", "short", "long", "sentence", "capital", "symbol_end", "pairs"]
@@ -136,7 +136,7 @@ def measured(docs: DataFrame) -> DataFrame:
             rows = [x.tobytes() for a, b in chunks(offsets) for x in statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype("<f4")]
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, "doc_id long, x binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(measure), "doc_id long, x binary")
 
 
 def summed(rows: DataFrame, of_batch, size: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def summed(rows: DataFrame, of_batch, size: int) -> np.ndarray:
         if some:
             yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
 
-    parts = rows.mapInArrow(partial, "k int, v binary").repartition(ADDERS, "k").mapInArrow(add, "k int, v binary").collect()  # ADDERS rows at most
+    parts = rows.mapInArrow(lean(partial), "k int, v binary").repartition(ADDERS, "k").mapInArrow(add, "k int, v binary").collect()  # ADDERS rows at most
     return sum((np.frombuffer(r["v"]) for r in parts), np.zeros(size))
 
 
@@ -218,7 +218,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, teaches, threshold: flo
             s = model.score(_matrix(batch.column(1))) if batch.num_rows else np.empty(0)
             yield pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(score, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(lean(score), "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, teaches, threshold: float = 0.3, label: str = "quality") -> DataFrame:
@@ -232,4 +232,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, teaches, threshold: float =
             good = [model.score(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) >= threshold for a, b in chunks(offsets)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.empty(0, bool)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, filesystem, shared_dir, shuffle_partitions
+from .shared import Workspace, filesystem, lean, shared_dir, shuffle_partitions
 from .tokens import encoder
 
 LENGTH = 2048
@@ -125,7 +125,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0,
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     with Workspace(spark, "token-manifest") as ws:
-        return ws.keep(ordered.mapInArrow(write, MANIFEST), "manifest")
+        return ws.keep(ordered.mapInArrow(lean(write), MANIFEST), "manifest")
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
@@ -158,4 +158,4 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
     # one row for each shard, so one task can hold them all
     base = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = manifest.select("shard", "path", "index_path", "n_ids", base.alias("base"))
-    return shards.repartition(shuffle_partitions(manifest.sparkSession)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(shuffle_partitions(manifest.sparkSession)).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
