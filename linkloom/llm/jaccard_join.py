@@ -8,7 +8,8 @@ their symmetric difference. For a pair of sizes a and b a similarity of p/q boun
 next one. Agreement on enough blocks makes candidates, the Hamming distance prunes them, the words of the texts verify
 them: hashes find pairs, but no link rests on one.
 
-Equal sequences of words collapse to one node (by a cryptographic digest) before any pair is made. Blocks go to the
+Equal sequences of words collapse to one node (by a cryptographic digest) before any pair is made; different sequences
+can have equal sets ("a a a" and "a a a a"), so sets too small to differ from a linked one meet as well. Blocks go to the
 joining tasks as packed arrays, one entry for each block value and scan task, so that a value that a third of all sets
 share costs one entry a task. A set meets others on its rarest block values only, as many as pigeonhole asks for. Of the
 sets that share a block value, the one that shares the most with others is compared with all of them; only sets that are
@@ -63,17 +64,17 @@ class Bands:
         self.edge = np.array(edges, np.int64)
         self.differ = 2 * (self.edge[1:] - 1) * (q - p) // (q + p)
         #: A quarter more blocks than needed: hardly a set depends on its empty blocks, and linked sets agree on several.
-        self.blocks = np.where(self.differ > 0, self.differ + 3 + self.differ // 4, 0)
+        #: Where a band allows no difference, one block stands for the whole set.
+        self.blocks = np.where(self.differ > 0, self.differ + 3 + self.differ // 4, 1)
 
     def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(set, band, 1 if it isn't the set's own) of each band that each set joins in; where a band allows no difference, equal sets are one node already."""
+        """(set, band, 1 if it isn't the set's own) of each band that each set joins in."""
         own = np.searchsorted(self.edge, n, "right") - 1
         near = np.flatnonzero((n > 0) & (self.q * n >= self.p * self.edge[np.minimum(own + 1, len(self.edge) - 1)]))
         who = np.concatenate([np.flatnonzero(n > 0), near])
         band = np.concatenate([own[n > 0], own[near] + 1])
         further = np.concatenate([np.zeros((n > 0).sum(), np.int64), np.ones(len(near), np.int64)])
-        some = self.blocks[band] > 0
-        return who[some], band[some], further[some]
+        return who, band, further
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:

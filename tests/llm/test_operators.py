@@ -207,6 +207,19 @@ def test_jaccard_finds_links_at_the_edge(spark):
     assert got == jaccard_components(data, 3, 90, 100)
 
 
+def test_jaccard_links_small_equal_sets_of_different_words(spark):
+    """Sets too small to differ from a linked one: other words in another order or number, the same shingles."""
+    from linkloom.llm.jaccard_join import link_sets
+
+    rng = random.Random(17)
+    data = [(1, "a b a b a"), (2, "b a b a b a"), (3, "c c c"), (4, "c c c c c c"), (5, "x y z x y z x"), (6, "y z x y z x y z"), (7, "d d"), (8, "c c c d")]
+    data += [(100 + k, " ".join(rng.choice("pqr") for _ in range(rng.randrange(1, 14)))) for k in range(400)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    for size, p in ((3, 90), (5, 80), (2, 50)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in link_sets(frame, size=size, p=p, q=100).collect()}
+        assert got == jaccard_components(data, size, p, 100), (size, p)
+
+
 def test_jaccard_odd_rows(spark, nothing):
     from linkloom.llm.jaccard_join import link_sets
 
