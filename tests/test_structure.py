@@ -78,6 +78,36 @@ def test_references_pass_through_chains_of_barrels(spark):
     assert pairs(graph.affected(r, b, nodes(spark, "t")), "node") == [("b1",), ("b2",), ("c",), ("d",), ("t",)]
 
 
+def _crowd(spark):
+    """A hub that passes on 60 files and is referred to by 50 of them and 40 others, in chains of hubs; some places refer to several files."""
+    rng = random.Random(5)
+    b = [("h", f"t{k}", "all", None, None, "x") for k in range(60)] + [("g", "h", "all", None, None, "x"), ("h", "g", "all", None, None, "x"), ("i", "t1", "all", None, None, "x")]
+    r = [(f"t{k}", "h") for k in range(50)] + [(f"u{k}", rng.choice("hgi")) for k in range(40)] + [(f"v{k}", rng.choice(["t1", "t2", "h", "i", "u3", None])) for k in range(60) for _ in range(3)] + [("t55", "u7"), ("w", "v0")]
+    rows = [(s, d, rng.choice(["s1", "s2", None]), "import-named", rng.choice([1, None]), [], k) for k, (s, d) in enumerate(r)]
+    return hubs(spark, b), frame(spark, rows, REF), [x[:2] for x in b], rows
+
+
+def test_references_to_a_crowd_are_not_compared_with_each_other(spark, monkeypatch):
+    b, r, passes, rows = _crowd(spark)
+    want = {}
+    for t in [f"t{k}" for k in range(60)]:
+        reach = {t}
+        while more := {h for h, x in passes if x in reach} - reach:
+            reach |= more
+        for s, d, spec, _, line, _, seq in sorted(rows, key=lambda x: (x[1] != t, x[6])):
+            if d in reach:
+                want.setdefault((t, s, spec, line), (d if d != t else None, seq))
+    compared, first = [], graph.first_by_key
+    monkeypatch.setattr(graph, "first_by_key", lambda df, *a: compared.append(df) or first(df, *a))
+    for portion in (1_000_000, 7):
+        monkeypatch.setattr(graph, "PORTION", portion, raising=False)
+        got = graph.all_references(r, b, nodes(spark, [f"t{k}" for k in range(60)]))
+        found = got.collect()
+        assert {(x["dst"], x["src"], x["specifier"], x["line"]): (x["through"], x["seq"]) for x in found} == want and len(found) == len(want)
+        assert got.columns == [*r.columns, "target", "through"]
+    assert all(df.count() < len(want) / 2 for df in compared)
+
+
 def test_dead_chain_starts_at_the_nearest_dead_head(spark):
     imp = frame(spark, [("t", "m"), ("m", "h"), ("m", "g"), ("u", "v"), ("v", "u")], "file string, importer string")
     got = graph.dead_chains(imp, nodes(spark, ["t", "u", "z"]), nodes(spark, ["g", "h"]))
