@@ -549,8 +549,7 @@ def doc_similar_pairs(spark, d):
 
 @query()
 def doc_similar_groups(spark, d):
-    pairs = similarity.similar_sets(_doc_sets(spark, d), 0.7).withColumn("identical", F.col("score") >= 1.0)
-    return similarity.star_groups(pairs)
+    return similarity.similar_set_groups(_doc_sets(spark, d), 0.7)
 
 
 @query()

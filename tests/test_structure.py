@@ -254,6 +254,21 @@ def test_groups_are_stars_in_order(spark):
     assert got == [(1, 1, "high"), (1, 2, "high"), (3, 3, "medium"), (3, 4, "medium"), (7, 7, "exact"), (7, 8, "exact")]
 
 
+def test_groups_of_sets_make_no_pairs_of_equal_ones(spark, monkeypatch):
+    rng = random.Random(23)
+    kinds = [sorted({f"t{int(rng.random() ** 2 * 12)}" for _ in range(rng.randrange(14))}) for _ in range(40)]
+    sets = [(k, rng.choice(kinds)) for k in range(300)]
+    df = frame(spark, sets, "id bigint, items array<string>")
+    for t in (0.5, 0.7, 0.9):
+        want = similarity.star_groups(similarity.similar_sets(df, t).withColumn("identical", F.col("score") >= 1.0))
+        want = pairs(want, "group_id", "member_id", "score", "bucket")
+        with monkeypatch.context() as m:
+            saved, save = [], similarity.Workspace.save
+            m.setattr(similarity.Workspace, "save", lambda self, df, *a, **k: saved.append(df.count()) or save(self, df, *a, **k))
+            assert pairs(similarity.similar_set_groups(df, t), "group_id", "member_id", "score", "bucket") == want
+        assert max(saved) <= 800
+
+
 def decl(k, name="fooBar", kind="function", body="a b c d e f g h", content=("x", "y"), file=None, ext=(), members=(), guard=False, tokens=None, length=None):
     return (k, file or f"f{k}", name, kind, body, tokens or len(body.split()), length or len(body), 3, False, False, guard, list(content), list(ext), list(members))
 
