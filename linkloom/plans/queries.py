@@ -12,6 +12,7 @@ from ..operators import contracts, conventions, diagnostics, edits, find, graph,
 from ..sources import tables
 from ..sources.tables import read_table
 from .adapters import ITEM_EDGES_SQL, KEY_EDGES_SQL, event_steps, key_edges, node
+from .tables import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -556,8 +557,10 @@ def doc_similar_groups(spark, d):
 def similar_declarations(spark, d):
     """Conversation turns as bodies of declarations: all gates, scores, penalties and groups."""
     rows = read_table(spark, d, "conversations").where("text is not null")
-    body = S.normalised("text")
-    decl = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("decl_id"), F.concat(F.lit("f"), "conv_id").alias("file"), F.concat("role", F.lit("Turn"), "turn").alias("name"), F.lit("function").alias("kind"), body.alias("normalized_body"), F.size(S.tokens(body)).alias("token_count"), F.length("text").alias("body_length"), F.lit(1).alias("body_lines"), F.lit(False).alias("has_directive"), F.lit(False).alias("is_wrapper"), F.lit(False).alias("is_type_guard"), S.content_tokens("text", F.lit("function")).alias("content_tokens"), F.array().cast("array<string>").alias("extends_names"), F.array().cast("array<string>").alias("member_names"))
+    rows = rows.withColumn("body", S.normalised("text"))
+    decl = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("decl_id"), F.concat(F.lit("f"), "conv_id").alias("file"), F.concat("role", F.lit("Turn"), "turn").alias("name"), F.lit("function").alias("kind"), F.col("body").alias("normalized_body"), F.size(S.tokens("body")).alias("token_count"), F.length("text").alias("body_length"), F.lit(1).alias("body_lines"), F.lit(False).alias("has_directive"), F.lit(False).alias("is_wrapper"), F.lit(False).alias("is_type_guard"), S.content_tokens("text", F.lit("function")).alias("content_tokens"), F.array().cast("array<string>").alias("extends_names"), F.array().cast("array<string>").alias("member_names"))
+    with Workspace(spark, "declarations") as ws:
+        decl = ws.keep(decl)  # so that bodies are normalised once
     return similarity.find_similar(decl.where("token_count >= 8"), similarity.Options(threshold=0.8, max_groups=0))
 
 

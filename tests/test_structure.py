@@ -308,6 +308,38 @@ def test_find_similar_filters_and_picks(spark):
     assert pairs(similarity.canonical_members(g, d.withColumn("is_exported", F.col("decl_id") == 3)), "canonical", "duplicate") == [(3, 1), (3, 2)]
 
 
+def test_groups_of_declarations_make_few_of_their_pairs(spark, monkeypatch):
+    rng = random.Random(31)
+    bodies = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(6, 14))) for _ in range(5)]
+
+    def one(k):
+        body = rng.choice(bodies).split()
+        if rng.random() < 0.3:
+            body[rng.randrange(len(body))] = rng.choice("abcdef")
+        kind = rng.choice(["function"] * 9 + ["type", "interface"])
+        content, members = rng.sample("pqrs", rng.randrange(5)), rng.sample(["m", "n", "fooBar"], rng.randrange(3)) if kind == "interface" else []
+        return decl(k, rng.choice(["fooBar", "fooQux", "zip"]), kind, " ".join(body), content, f"f{rng.randrange(40)}", ["A"] * rng.randrange(2), members, rng.random() < 0.05, None, rng.randrange(20, 50))
+
+    d = frame(spark, [one(7 * k) for k in range(200)], DECL)
+    monkeypatch.setattr(similarity, "FIRST", 64, raising=False)
+    monkeypatch.setattr(similarity, "PAIRS", 1000, raising=False)
+    for t in (0.5, 0.8):
+        o = similarity.Options(threshold=t, max_groups=0)
+        made = similarity.similar_pairs(d, o)
+        want = pairs(similarity.star_groups(made), "group_id", "member_id", "score", "bucket")
+        with monkeypatch.context() as m:
+            saved, save = [], similarity.Workspace.save
+            m.setattr(similarity.Workspace, "save", lambda self, df, name, **k: saved.append((df.count() if "score" in df.columns else 0)) or save(self, df, name, **k))
+            assert pairs(similarity.find_similar(d, o), "group_id", "member_id", "score", "bucket") == want
+        assert want and max(saved) < made.count() / 2, (t, len(want), max(saved), made.count())
+
+
+def test_declarations_without_bigrams_group_past_a_first_unlike_one(spark):
+    d = frame(spark, [decl(1, body="x", length=100), decl(2, body="x", length=10), decl(3, body="x", length=10), decl(4)], DECL)
+    assert pairs(similarity.find_similar(d), "group_id", "member_id", "bucket") == [(2, 2, "exact"), (2, 3, "exact")]
+    assert similarity.find_similar(d.where("decl_id < 0")).count() == 0
+
+
 # -- naming, layout, conventions
 
 
