@@ -108,6 +108,19 @@ def test_references_to_a_crowd_are_not_compared_with_each_other(spark, monkeypat
     assert all(df.count() < len(want) / 2 for df in compared)
 
 
+def test_references_to_a_crowd_are_copied_less_than_they_come_out(spark, monkeypatch):
+    b = hubs(spark, [("h", f"t{k}", "all", None, None, "x") for k in range(40)])
+    r = refs(spark, [(f"u{k}", "h") for k in range(40)])
+    dealt, frame_of = [], type(r)
+    repartition = frame_of.repartition
+    rows = lambda df: df.select(F.sum(F.size("_targets") if "_targets" in df.columns else F.lit(1))).first()[0]
+    monkeypatch.setattr(frame_of, "repartition", lambda self, *a: dealt.append(self) or repartition(self, *a))
+    monkeypatch.setattr(graph, "PORTION", 16)
+    got = pairs(graph.all_references(r, b, nodes(spark, [f"t{k}" for k in range(40)])), "src", "dst", "through")
+    assert got == sorted((f"u{k}", f"t{n}", "h") for k in range(40) for n in range(40))
+    assert dealt and sum(map(rows, dealt)) < 40 * 40 * 2 / 3
+
+
 def test_affected_hands_no_reference_on_to_all_that_a_barrel_stands_for(spark, monkeypatch):
     b, r, passes, rows = _crowd(spark)
     depth, front = {"t1": 0}, {"t1"}
